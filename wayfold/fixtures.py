@@ -126,7 +126,7 @@ FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON
 
 
 def _needs(text: str, known: dict[str, str]) -> list[str]:
-    words = set(re.findall(r"[a-z_]+", text))
+    words = set(re.findall(r"[a-z_][a-z_0-9]*", text))
     return [v for v in known if v in words]
 
 
