@@ -20,7 +20,8 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     s1 = F.sin(F.radians(lat2 - lat1) / 2.0)
     s2 = F.sin(F.radians(lon2 - lon1) / 2.0)
     a = s1 * s1 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * s2 * s2
-    a = F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))
+    # greatest/least would turn a missing coordinate into a distance
+    a = F.when(a > 1.0, 1.0).when(a < 0.0, 0.0).otherwise(a)
     return F.lit(2.0 * EARTH_KM) * F.atan2(F.sqrt(a), F.sqrt(1.0 - a))
 
 

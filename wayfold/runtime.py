@@ -54,7 +54,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def clamp(c: Column, lo, hi) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    """Value held between two limits; missing stays missing."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def keep_first(df: DataFrame, keys: list, order: list, name: str = "_rn") -> DataFrame:
