@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayfold.llm.common import remainder
 from wayfold.llm.exact_dedup import exact_groups
+from wayfold.llm.jaccard_join import near_groups
 from wayfold.llm.language import identify_language
 from wayfold.llm.packing import pack_sequences
 
@@ -31,6 +32,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).withColumnRenamed("poi_id", "doc_id")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir)).withColumnRenamed("poi_id", "doc_id")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "lang")
     found = identify_language(docs, docs.filter(remainder("poi_id", 4) != 2))
@@ -40,6 +45,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_language": op10_language,
 }
 
