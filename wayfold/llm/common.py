@@ -75,3 +75,14 @@ def golomb_unpack(blob: bytes) -> np.ndarray:
         wide[:, :k] = bits
         high |= np.packbits(wide, axis=1, bitorder="little").view("<u8").ravel()
     return np.cumsum(high, dtype=np.uint64)
+
+
+def keep_table(df: DataFrame) -> DataFrame:
+    """Like ``runtime.spool``, compressed harder: for tables of packed numbers."""
+    import uuid
+
+    from wayfold.runtime import shared_dir
+
+    path = f"{shared_dir(df.sparkSession)}/wayfold/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayfold.llm.common import remainder
@@ -9,6 +11,8 @@ from wayfold.llm.exact_dedup import exact_groups
 from wayfold.llm.jaccard_join import near_groups
 from wayfold.llm.language import identify_language
 from wayfold.llm.packing import pack_sequences
+from wayfold.llm.token_files import read_token_files, write_token_files
+from wayfold.runtime import shared_dir
 
 
 def tokenizer_path() -> str:
@@ -28,6 +32,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(documents(spark, sf_dir), tokenizer_path()).withColumnRenamed("poi_id", "doc_id")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/wayfold/tokens-{uuid.uuid4().hex}"
+    write_token_files(documents(spark, sf_dir), path, tokenizer_path())
+    return read_token_files(spark, path).withColumnRenamed("poi_id", "doc_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).withColumnRenamed("poi_id", "doc_id")
 
@@ -44,6 +54,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_token_files": op4_token_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_language": op10_language,
