@@ -10,6 +10,7 @@ from wayfold.llm.common import remainder
 from wayfold.llm.exact_dedup import exact_groups
 from wayfold.llm.jaccard_join import near_groups
 from wayfold.llm.language import identify_language
+from wayfold.llm.language_model import score_texts
 from wayfold.llm.packing import pack_sequences
 from wayfold.llm.token_files import read_token_files, write_token_files
 from wayfold.runtime import shared_dir
@@ -32,6 +33,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(documents(spark, sf_dir), tokenizer_path()).withColumnRenamed("poi_id", "doc_id")
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir), remainder("poi_id", 7) == 2).withColumnRenamed("poi_id", "doc_id")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/wayfold/tokens-{uuid.uuid4().hex}"
     write_token_files(documents(spark, sf_dir), path, tokenizer_path())
@@ -54,6 +59,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_lm_scores": op3_lm_scores,
     "op4_token_files": op4_token_files,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_near_duplicates": op9_near_duplicates,
