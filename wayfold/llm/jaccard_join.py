@@ -241,8 +241,7 @@ def _fits(small: str, large: str):
 def _cross_pairs(lists: DataFrame, parts: DataFrame) -> DataFrame:
     """Pairs of a list's members that the links so far leave apart, within reach of each other's size.
 
-    A member meets one row for every other component, not for every other member,
-    unless the component itself has to be looked through.
+    Lists that lie in one component, as those inside a group of copies do, make none.
     """
     members = lists.select("list", F.posexplode("ids").alias("i", "class"), "sizes").select(
         "list", "class", F.col("sizes")[F.col("i")].alias("n"))
@@ -297,3 +296,13 @@ def near_groups(pois: DataFrame, key: str = "poi_id", text: str = "address") ->
     low = rows.filter("part IS NOT NULL").groupBy("part").agg(F.min("key").alias("low"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     return rows.join(spool(low), "part", "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("low", "key").alias("component_id"))
+
+
+def without_copies(records: DataFrame, groups: DataFrame, key: str = "poi_id") -> DataFrame:
+    """One record of each group of :func:`near_groups`, the one with the smallest key; all columns stay.
+
+    Rows that share a key, or have none, stay or go together.
+    """
+    marks = groups.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_gone")).agg(
+        F.max(F.col("component_id") == F.col(key)).alias("_stays")).filter("NOT _stays").select("_gone")
+    return records.join(spool(marks), F.col(key) == F.col("_gone"), "left_anti")

@@ -130,10 +130,27 @@ def identify_language(
     text: ``und``, score 0, bits null; likewise when nothing was labelled.
     Repeated rows and null keys each keep their row; other columns are not read.
     """
+    kind = records.schema[key].dataType.simpleString()
+    parse = _parse(records, labelled, key, text, label, texts_per_language)
+    return records.select(F.col(key).alias("row"), F.col(text).alias("text")).mapInArrow(
+        parse, f"row {kind}, lang_pred string, score double, bits_per_letter double").withColumnRenamed("row", key)
+
+
+def without_unidentified(
+    records: DataFrame, labelled: DataFrame, key: str = "poi_id", text: str = "address", label: str = "lang", texts_per_language: int = 96,
+) -> DataFrame:
+    """Records whose language :func:`identify_language` tells (not ``und``), with all their columns, in one pass."""
+    parse = _parse(records, labelled, key, text, label, texts_per_language)
+    rows = records.select(F.struct(*[F.col(c) for c in records.columns]).alias("row"), F.col(text).alias("text"))
+    found = rows.mapInArrow(parse, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, bits_per_letter double")
+    return found.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+
+
+def _parse(records: DataFrame, labelled: DataFrame, key: str, text: str, label: str, texts_per_language: int):
+    """Rows of any payload and a text: payload, language, score, bits per letter."""
     sample = training_sample(labelled, key, text, label, texts_per_language)
     shared = records.sparkSession.sparkContext.broadcast(sample)
     name = repr(sorted((k, len(v), hash(v)) for k, v in sample.items()))
-    kind = records.schema[key].dataType.simpleString()
 
     def run(batches):
         if name not in _parsers:
@@ -154,7 +171,7 @@ def identify_language(
                 cost.append(float(bits[i] / got[0]))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64())],
-                names=[key, "lang_pred", "score", "bits_per_letter"],
+                names=["row", "lang_pred", "score", "bits_per_letter"],
             )
 
-    return records.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, bits_per_letter double")
+    return run

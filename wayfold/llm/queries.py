@@ -11,8 +11,12 @@ from wayfold.llm.exact_dedup import exact_groups
 from wayfold.llm.jaccard_join import near_groups
 from wayfold.llm.language import identify_language
 from wayfold.llm.language_model import score_texts
+from wayfold.llm.mixing import mix_to_targets
 from wayfold.llm.packing import pack_sequences
+from wayfold.llm.private_data import find_private, joined
+from wayfold.llm.ranked_search import bm25_top
 from wayfold.llm.token_files import read_token_files, write_token_files
+from wayfold.llm.url_rules import HOST_RULES, PATTERN_RULES, judge_urls
 from wayfold.runtime import shared_dir
 
 
@@ -33,6 +37,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(documents(spark, sf_dir), tokenizer_path()).withColumnRenamed("poi_id", "doc_id")
 
 
+DOMAIN_TARGETS = {"good": 0.96, "poor": 0.03, "toxic": 0.01}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents: toxic ones, and the others by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("poi_id"), domain.alias("category"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_targets(documents(spark, sf_dir), labelled_domains(spark, sf_dir), DOMAIN_TARGETS).withColumnRenamed("poi_id", "doc_id")
+
+
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(documents(spark, sf_dir), remainder("poi_id", 7) == 2).withColumnRenamed("poi_id", "doc_id")
 
@@ -47,6 +64,23 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).withColumnRenamed("poi_id", "doc_id")
 
 
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = find_private(documents(spark, sf_dir))
+    return got.select(
+        F.col("poi_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    asked = docs.filter(F.col("poi_id") % 100 == 0).select(F.col("poi_id").alias("query_id"), F.col("address").alias("text"))
+    return bm25_top(docs, asked).withColumnRenamed("poi_id", "doc_id")
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir)).withColumnRenamed("poi_id", "doc_id")
 
@@ -59,14 +93,32 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_mixing": op2_mixing,
     "op3_lm_scores": op3_lm_scores,
     "op4_token_files": op4_token_files,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_url_rules": op6_url_rules,
+    "op7_private_data": op7_private_data,
+    "op8_bm25": op8_bm25,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_language": op10_language,
 }
 
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in HOST_RULES)
+_BLOCKED = " OR ".join(f"regexp_matches(url, '{p}')" for v, p, _ in PATTERN_RULES if v == "block")
+_LONGEST = "CASE " + " ".join(
+    f"WHEN regexp_matches(url, '{p}') THEN '{p}'" for _, p, _ in sorted(PATTERN_RULES, key=lambda r: (len(r[1]), r[1]), reverse=True)) + " END"
+
 ORACLE = {
+    "op6_url_rules": rf"""
+WITH rules(verdict, host, path) AS (VALUES {_RULES}),
+u AS (SELECT row_number() OVER () AS rn, page_id, url,
+  translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+fit AS (SELECT u.rn, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
+  FROM u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY u.rn)
+SELECT page_id, u.host, u.path, rule, coalesce(fit.verdict, CASE WHEN {_BLOCKED} THEN 'block' ELSE 'allow' END) AS verdict,
+  {_LONGEST} AS pattern FROM u LEFT JOIN fit ON u.rn = fit.rn""",
     "op5_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
