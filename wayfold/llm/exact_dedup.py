@@ -118,9 +118,11 @@ def exact_groups(pois: DataFrame, key: str = "poi_id", text: str = "address") ->
     bodies = pois.select(text_bytes(text).alias("text")).mapInArrow(_lowered, "fp bigint, body binary").join(suspects, "fp", "left_semi")
     same = bodies.groupBy("fp", "body").agg(F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
     same = spool(same.select("fp", F.sha2("body", 256).alias("text_sha256"), "group_size"))
-    last = rows.join(same.select("fp", "text_sha256"), ["fp", "text_sha256"], "left_semi").groupBy("fp", "text_sha256").agg(
-        F.max(F.struct(F.col("key").isNotNull().alias("known"), F.col("key").alias("key"), F.col("row").alias("row"))).alias("last")
-    )
+    # grouped before it meets the verified groups, so a hot group is one row for each task
+    last = rows.groupBy("fp", "text_sha256").agg(
+        F.max(F.struct(F.col("key").isNotNull().alias("known"), F.col("key").alias("key"), F.col("row").alias("row"))).alias("last"),
+        F.count(F.lit(1)).alias("n"),
+    ).filter("n > 1")
     groups = spool(same.join(last, ["fp", "text_sha256"]).select(
         "fp", "text_sha256", "group_size", F.col("last.key").alias("keep_id"), F.col("last.row").alias("keep_row"),
     ))
