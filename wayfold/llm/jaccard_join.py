@@ -17,7 +17,6 @@ BLOCK_TOKENS = 1 << 22
 RARE = 24
 MAX_FREQUENT = 1 << 22
 BROADCAST_ROWS = 1 << 20
-SMALL_GROUP = 64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _WIDE = np.uint64((1 << 48) - 1)
 
@@ -56,65 +55,85 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _sets(batches):
-    """Size, class of equal sets and shingles of each text; within a partition only the first of a class carries them."""
-    hashes, seen = WordHashes(), set()
-    for b in batches:
-        n, cls, blobs = [], [], []
-        for t in b.column(1).to_pylist():
-            s = shingle_set(t, hashes)
-            n.append(len(s))
-            if not len(s):
-                cls.append(None), blobs.append(None)
-                continue
-            blob = _packed(s)
-            c = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)
-            cls.append(c)
-            blobs.append(None if c in seen else blob)
-            if len(seen) > 1 << 21:
-                seen.clear()
-            seen.add(c)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "n", "class", "shingles"],
-        )
-
-
-def _bucket_counts(bits: int, owners: int):
-    """Sorted bucket numbers of a partition's shingles, Golomb-coded, cut by owner."""
+def _classes(bits: int, owners: int):
+    """Size and class of equal sets of each text; and, for the first text of a class in a partition,
+    sorted bucket numbers of its shingles, Golomb-coded, cut by owner."""
     def run(batches):
-        def out(held):
+        hashes, seen, held, n_held = WordHashes(), set(), [], 0
+
+        def rows(keys, n, cls, own, codes):
+            return pa.RecordBatch.from_arrays(
+                [keys, pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(own, pa.int32()), pa.array(codes, pa.binary())],
+                names=["key", "n", "class", "owner", "codes"])
+
+        def counts():
             v = np.sort(np.concatenate(held) >> np.uint64(48 - bits))
             edges = np.searchsorted(v, np.array([(i << bits) // owners for i in range(1, owners)], dtype=np.uint64))
-            rows = [(o, golomb_pack(x)) for o, x in enumerate(np.split(v, edges)) if len(x)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["owner", "codes"])
-        held, n = [], 0
+            parts = [(o, golomb_pack(x)) for o, x in enumerate(np.split(v, edges)) if len(x)]
+            none = [None] * len(parts)
+            return rows(pa.array(none, kind), none, none, [o for o, _ in parts], [c for _, c in parts])
+
+        kind = pa.int64()
         for b in batches:
-            for blob in b.column(0).to_pylist():
-                held.append(_unpacked(blob))
-                n += len(held[-1])
-                if n >= BLOCK_TOKENS:
-                    yield out(held)
-                    held, n = [], 0
-        if n:
-            yield out(held)
+            kind = b.column(0).type
+            n, cls = [], []
+            for t in b.column(1).to_pylist():
+                s = shingle_set(t, hashes)
+                n.append(len(s))
+                cls.append(class_of(s))
+                if len(s) and cls[-1] not in seen:
+                    _remember(seen, cls[-1])
+                    held.append(s)
+                    n_held += len(s)
+                    if n_held >= BLOCK_TOKENS:
+                        yield counts()
+                        held, n_held = [], 0
+            none = [None] * len(n)
+            yield rows(b.column(0), n, cls, none, none)
+        if n_held:
+            yield counts()
+
     return run
 
 
+def class_of(s: np.ndarray) -> int | None:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None
+
+
+def _remember(seen: set, c: int) -> None:
+    if len(seen) > 1 << 21:
+        seen.clear()
+    seen.add(c)
+
+
+def _bodies(batches):
+    """Class and shingles of texts; the first of a class in a partition."""
+    hashes, seen = WordHashes(), set()
+    for b in batches:
+        cls, blobs = [], []
+        for t in b.column(0).to_pylist():
+            s = shingle_set(t, hashes)
+            c = class_of(s)
+            if c is not None and c not in seen:
+                _remember(seen, c)
+                cls.append(c), blobs.append(_packed(s))
+        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(blobs, pa.binary())], names=["class", "shingles"])
+
+
 def _often(table: pa.Table) -> pa.Table:
     v, c = np.unique(np.concatenate([golomb_unpack(x) for x in table.column("codes").to_pylist()]), return_counts=True)
     keep = c >= RARE
     return pa.table({"bucket": pa.array(v[keep].astype(np.int64)), "n": pa.array(c[keep].astype(np.int64))})
 
 
-def frequent_buckets(sets: DataFrame, bits: int) -> np.ndarray:
+def frequent_buckets(codes: DataFrame) -> np.ndarray:
     """Sorted buckets (leading bits of shingle hashes) that at least RARE sets hold.
 
     At most MAX_FREQUENT are told apart: where there would be more, the limit
     rises to the count that leaves so many.  Any split gives whole results, as it
     only fixes the order in which shingles enter a prefix.
     """
-    rows = sets.filter("shingles IS NOT NULL").select("shingles").mapInArrow(_bucket_counts(bits, shuffle_width(sets)), "owner int, codes binary")
-    often = spool(rows.groupBy("owner").applyInArrow(_often, "bucket bigint, n bigint"))
+    often = spool(codes.groupBy("owner").applyInArrow(_often, "bucket bigint, n bigint"))
     limit = 0
     if often.count() > MAX_FREQUENT:
         by = often.groupBy(F.ceil(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()
@@ -128,56 +147,66 @@ def frequent_buckets(sets: DataFrame, bits: int) -> np.ndarray:
     return np.sort(got.astype(np.uint64))
 
 
-def prefix_keys(s: np.ndarray, frequent: np.ndarray, bits: int) -> np.ndarray:
-    """Index keys of a set: its rare shingles in the prefix, and pairs of neighbouring frequent ones.
+def prefix_keys(s: np.ndarray, frequent: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """Index keys of a set, rare shingles of its prefix and pairs of neighbouring frequent ones; and how many keys it asks a partner to share.
 
-    Order: rare shingles by hash, then frequent ones.  Sets that link share
-    the first of their common shingles within the usual prefix, so a common rare
-    shingle is found among the first n - ceil(0.8 n) + 1.  Where no rare one is
-    common, all c >= 0.8 u common shingles (u: size of the union) are frequent, and
-    the D = u - c others cut them into at most D + 1 runs; neighbours in a run are
-    neighbours in both sets, so at least c - D - 1 >= 0.6 n - 1 combinations of two
-    are shared, and a prefix of the combinations (by their hash) holds one.
+    Order: rare shingles by hash, then frequent ones.  Of a linked pair's at least
+    a = ceil(0.8 n) common shingles the k-th is among the first n - a + k of both, so
+    prefixes extended by k - 1 share k of them; each set takes k as a twentieth of its
+    size.  A set whose extended prefix is all rare asks for k keys, any other
+    for one.  Where no rare shingle is common, all c >= 0.8 u common ones (u: size
+    of the union) are frequent, and the D = u - c others cut them into at most D + 1
+    runs; neighbours in a run are neighbours in both sets, so at least
+    c - D - 1 >= 0.6 n - 1 combinations of two are shared, and a prefix of the
+    combinations (by their hash) holds one.
     """
     n = len(s)
     need = -(-PERCENT * n // 100)
+    k = 1 + n // 20
     bucket = s >> np.uint64(48 - bits)
     at = np.searchsorted(frequent, bucket)
     often = np.zeros(n, dtype=bool)
     ok = at < len(frequent)
     often[ok] = frequent[at[ok]] == bucket[ok]
     rare, many = s[~often], s[often]
-    keys = rare[:n - need + 1]
+    keys = rare[:n - need + k]
+    asks = k if len(rare) >= n - need + k else 1
     if len(many) >= max(need, 2):
         pairs = np.unique(_mix(many[:-1] * _FACTORS[0] + many[1:] * _FACTORS[1]) >> np.uint64(8))
         shared = max(1, -(-(2 * PERCENT - 100) * n // 100) - 1)
         keys = np.concatenate([keys, pairs[:max(0, len(pairs) - shared + 1)] | np.uint64(1 << 60)])
-    return keys
+    return keys, asks
 
 
 def _postings(shared, bits: int, owners: int):
-    """Keys of a partition's sets by owner: sorted keys, and class and size at each."""
+    """Keys of a partition's sets by owner: sorted keys; class, size and shared keys asked for at each."""
     def run(batches):
-        frequent = shared.value
+        frequent, hashes, seen = shared.value, WordHashes(), set()
         def out(held):
-            keys = np.concatenate([k for k, _, _ in held])
-            cls = np.repeat(np.array([c for _, c, _ in held], dtype=np.int64), [len(k) for k, _, _ in held])
-            n = np.repeat(np.array([m for _, _, m in held], dtype=np.int32), [len(k) for k, _, _ in held])
+            counts = [len(h[0]) for h in held]
+            keys = np.concatenate([h[0] for h in held])
+            which = np.repeat(np.arange(len(held), dtype=np.uint16), counts)
             own = (_mix(keys) % np.uint64(owners)).astype(np.int32)
             order = np.lexsort((keys, own))
-            keys, cls, n, own = keys[order], cls[order], n[order], own[order]
+            keys, which, own = keys[order], which[order], own[order]
             edges = np.searchsorted(own, np.arange(owners + 1))
-            rows = [(o, golomb_pack(keys[a:b]), cls[a:b].tobytes(), n[a:b].tobytes()) for o, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            sets = np.array([h[1:] for h in held], dtype="<i8").tobytes()
+            rows = [(o, golomb_pack(keys[a:b]), which[a:b].tobytes(), sets) for o, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
             return pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)),
-            ], names=["owner", "codes", "classes", "sizes"])
+            ], names=["owner", "codes", "which", "sets"])
         held, total = [], 0
         for b in batches:
-            for c, n, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
-                k = prefix_keys(_unpacked(blob), frequent, bits)
-                held.append((k, c, n))
+            for t in b.column(0).to_pylist():
+                s = shingle_set(t, hashes)
+                c = class_of(s)
+                if c is None or c in seen:
+                    continue
+                _remember(seen, c)
+                k, asks = prefix_keys(s, frequent, bits)
+                held.append((k, c, len(s), asks))
                 total += len(k)
-                if total >= BLOCK_TOKENS >> 1:
+                if total >= BLOCK_TOKENS >> 1 or len(held) == 0xFFFF:
                     yield out(held)
                     held, total = [], 0
         if total:
@@ -186,25 +215,32 @@ def _postings(shared, bits: int, owners: int):
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """Distinct lists of classes that share a key, each with its sizes, ordered by size and class."""
-    cat = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+    """Distinct lists of classes that share a key, ordered by size and class, and the number of such keys."""
     keys = np.concatenate([golomb_unpack(x) for x in table.column("codes").to_pylist()])
-    cls, n = cat("classes", np.int64), cat("sizes", np.int32)
-    order = np.lexsort((cls, n, keys))
-    keys, cls, n = keys[order], cls[order], n[order]
+    sets = np.concatenate([
+        np.frombuffer(t, "<i8").reshape(-1, 3)[np.frombuffer(w, np.uint16)]
+        for w, t in zip(table.column("which").to_pylist(), table.column("sets").to_pylist())])
+    # keys met once name nobody
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
+    many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    keys, sets = keys[many], sets[order[many]]
+    order = np.lexsort((sets[:, 0], sets[:, 1], keys))
+    keys, sets = keys[order], sets[order]
     new = np.ones(len(keys), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (cls[1:] != cls[:-1])
-    keys, cls, n = keys[new], cls[new], n[new]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    new[1:] = (keys[1:] != keys[:-1]) | (sets[1:, 0] != sets[:-1, 0])
+    keys, sets = keys[new], sets[new]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
     ends = np.append(starts[1:], len(keys))
-    many = ends - starts > 1
-    seen, ids, sizes = set(), [], []
-    for a, b in zip(starts[many], ends[many]):
-        name = hashlib.blake2b(cls[a:b].tobytes(), digest_size=16).digest()
-        if name not in seen:
-            seen.add(name)
-            ids.append(cls[a:b]), sizes.append(n[a:b])
-    return pa.table({"ids": pa.array(ids, pa.list_(pa.int64())), "sizes": pa.array(sizes, pa.list_(pa.int32()))})
+    seen: dict[bytes, list] = {}
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        if b - a > 1:
+            seen.setdefault(sets[a:b, 0].tobytes(), [a, b, 0])[2] += 1
+    found = list(seen.values())
+    lists = lambda i, kind: pa.array([sets[a:b, i] for a, b, _ in found], pa.list_(kind))
+    return pa.table({
+        "ids": lists(0, pa.int64()), "sizes": lists(1, pa.int64()), "asks": lists(2, pa.int64()), "keys": pa.array([x[2] for x in found], pa.int64())})
 
 
 def _verify(batches):
@@ -222,36 +258,36 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked_pairs(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """Those pairs (u, v) of classes whose sets reach the limit."""
-    wanted = spool(pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct())
-    small = wanted.count() <= BROADCAST_ROWS
-    bodies = sets.filter("shingles IS NOT NULL").join(F.broadcast(wanted) if small else wanted, "class", "left_semi")
-    # sets that several partitions sent are equal: one of each is enough
-    one = spool(bodies.groupBy("class").agg(F.first("shingles").alias("shingles")))
-    left = pairs.join(one.select(F.col("class").alias("u"), F.col("shingles").alias("a")), "u")
-    both = left.join(one.select(F.col("class").alias("v"), F.col("shingles").alias("b")), "v")
+    left = pairs.join(bodies.select(F.col("class").alias("u"), F.col("shingles").alias("a")), "u")
+    both = left.join(bodies.select(F.col("class").alias("v"), F.col("shingles").alias("b")), "v")
     return spool(both.select("u", "v", "a", "b").mapInArrow(_verify, "u bigint, v bigint"))
 
 
-def _fits(small: str, large: str):
-    return F.col(small) * 100 >= F.col(large) * PERCENT
+def _possible(rows: DataFrame) -> DataFrame:
+    """Pairs whose sizes are within reach and whose lists hold as many keys as both ask for: u, v, keys."""
+    near = rows.filter(F.col("n1") * 100 >= F.col("n2") * PERCENT)
+    return near.groupBy("u", "v").agg(F.sum("keys").alias("keys"), F.min(F.least("k1", "k2")).alias("k")).filter("keys >= k").select("u", "v", "keys")
+
+
+def _members(lists: DataFrame) -> DataFrame:
+    at = lambda c: F.col(c)[F.col("i")]
+    return lists.select("list", "keys", F.posexplode("ids").alias("i", "class"), "sizes", "asks").select(
+        "list", "keys", "i", "class", at("sizes").alias("n"), at("asks").alias("k"))
 
 
 def _cross_pairs(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs of a list's members that the links so far leave apart, within reach of each other's size.
+    """Possible pairs of lists' members that the links so far leave apart.
 
     Lists that lie in one component, as those inside a group of copies do, make none.
     """
-    members = lists.select("list", F.posexplode("ids").alias("i", "class"), "sizes").select(
-        "list", "class", F.col("sizes")[F.col("i")].alias("n"))
-    named = members.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
+    named = _members(lists).join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
     open_lists = named.groupBy("list").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("list")
     m = spool(named.join(open_lists, "list", "left_semi"))
-    a = m.select("list", F.col("class").alias("u"), F.col("n").alias("n1"), F.col("part").alias("p1"))
-    b = m.select("list", F.col("class").alias("v"), F.col("n").alias("n2"), F.col("part").alias("p2"))
-    ordered = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("u") < F.col("v")))
-    return a.join(b, "list").filter(ordered & (F.col("p1") != F.col("p2")) & _fits("n1", "n2")).select("u", "v").distinct()
+    a = m.select("list", "keys", F.col("i").alias("i1"), F.col("class").alias("u"), F.col("n").alias("n1"), F.col("k").alias("k1"), F.col("part").alias("p1"))
+    b = m.select("list", F.col("i").alias("i2"), F.col("class").alias("v"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("part").alias("p2"))
+    return _possible(a.join(b, "list").filter("i1 < i2 AND p1 <> p2"))
 
 
 def near_groups(pois: DataFrame, key: str = "poi_id", text: str = "address") -> DataFrame:
@@ -259,11 +295,11 @@ def near_groups(pois: DataFrame, key: str = "poi_id", text: str = "address") ->
 
     Equal sets form one class.  Shingles that many sets hold are counted exactly
     by hash bucket; each class is indexed by the rare shingles of its prefix and
-    by combinations of neighbouring frequent ones (:func:`prefix_keys`).  Classes
-    that share a key are compared with the list's first member; then, wherever
-    the links found leave a list in several components, the remaining pairs
+    by combinations of neighbouring frequent ones (:func:`prefix_keys`).  Each
+    class is compared with one other that shares most keys; then, wherever
+    the links found leave a list of sharers in several components, its possible pairs
     between components are compared too, so no link between components is lost
-    and a group of any size costs one comparison for each member.  All
+    and a group of copies of any size costs one comparison for each member.  All
     comparisons are on the whole sets of 48-bit shingle hashes.
 
     Returns one row for each input row: key, n_shingles, component_id (smallest
@@ -272,24 +308,32 @@ def near_groups(pois: DataFrame, key: str = "poi_id", text: str = "address") ->
     component unless a linked record has one.  Repeated rows are in one component.
     """
     kind = pois.schema[key].dataType.simpleString()
-    sets = spool(pois.select(F.col(key).alias("key"), text_bytes(text).alias("text")).mapInArrow(
-        _sets, f"key {kind}, n bigint, class bigint, shingles binary"))
-    total = sets.filter("shingles IS NOT NULL").agg(F.sum("n")).first()[0] or 0
-    bits = min(46, max(20, int(total).bit_length() + 1))
-    spark = pois.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_buckets(sets, bits))
+    texts = pois.select(text_bytes(text).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # about one shingle for every six bytes; twice as many buckets or more
+    bits = min(46, max(20, (int(size) // 3).bit_length()))
     owners = shuffle_width(pois)
-    posted = sets.filter("shingles IS NOT NULL").select("class", "n", "shingles").mapInArrow(
-        _postings(frequent, bits, owners), "owner int, codes binary, classes binary, sizes binary")
-    lists = spool(posted.groupBy("owner").applyInArrow(_lists, "ids array<bigint>, sizes array<int>")
-                  .dropDuplicates(["ids"]).withColumn("list", F.monotonically_increasing_id()))
-    # members whose size is too far from the first one's are left to the second round
-    stars = lists.select(F.col("ids")[0].alias("u"), F.col("sizes")[0].alias("n1"), F.posexplode("ids").alias("i", "v"), "sizes").filter("i > 0").select(
-        "u", "v", "n1", F.col("sizes")[F.col("i")].alias("n2")).filter(_fits("n1", "n2")).select("u", "v").distinct()
-    first = linked_pairs(spool(stars), sets)
+    sets = spool(pois.select(F.col(key).alias("key"), text_bytes(text).alias("text")).mapInArrow(
+        _classes(bits, owners), f"key {kind}, n bigint, class bigint, owner int, codes binary"))
+    frequent = pois.sparkSession.sparkContext.broadcast(frequent_buckets(sets.filter("owner IS NOT NULL").select("owner", "codes")))
+    sets = sets.filter("owner IS NULL").select("key", "n", "class")
+    posted = texts.mapInArrow(_postings(frequent, bits, owners), "owner int, codes binary, which binary, sets binary")
+    found = spool(posted.groupBy("owner").applyInArrow(_lists, "ids array<bigint>, sizes array<bigint>, asks array<bigint>, keys bigint"))
+    lists = spool(found.groupBy("ids").agg(F.first("sizes").alias("sizes"), F.first("asks").alias("asks"), F.sum("keys").alias("keys")).withColumn(
+        "list", F.monotonically_increasing_id()))
+    wanted = spool(lists.select(F.explode("ids").alias("class")).distinct())
+    few = wanted.count() <= BROADCAST_ROWS
+    bodies = texts.mapInArrow(_bodies, "class bigint, shingles binary").join(F.broadcast(wanted) if few else wanted, "class", "left_semi")
+    # equal sets of several partitions: one of each is enough
+    bodies = spool(bodies.groupBy("class").agg(F.first("shingles").alias("shingles")))
+    # each class with the first member of lists that it shares most keys with: joins most groups of copies
+    stars = _possible(_members(lists).filter("i > 0").select("list", F.col("class").alias("v"), F.col("n").alias("n2"), F.col("k").alias("k2"), "keys").join(
+        lists.select("list", F.col("ids")[0].alias("u"), F.col("sizes")[0].alias("n1"), F.col("asks")[0].alias("k1")), "list"))
+    firsts = spool(stars.groupBy("v").agg(F.max_by("u", F.struct("keys", -F.col("u"))).alias("u")).select("u", "v"))
+    first = linked_pairs(firsts, bodies)
     parts = spool(weak_components(first).select(F.col("node").alias("class"), F.col("component").alias("part")))
-    rest = spool(_cross_pairs(lists, parts).join(stars, ["u", "v"], "left_anti"))
-    links = first if rest.isEmpty() else first.unionByName(linked_pairs(rest, sets))
+    rest = spool(_cross_pairs(lists, parts).select("u", "v").join(firsts, ["u", "v"], "left_anti"))
+    links = first if rest.isEmpty() else first.unionByName(linked_pairs(rest, bodies))
     whole = spool(weak_components(links).select(F.col("node").alias("class"), F.col("component").alias("part")))
     rows = sets.select("key", "n", "class").join(whole, "class", "left").withColumn("part", F.coalesce("part", "class"))
     rows = spool(rows)
