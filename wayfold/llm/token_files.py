@@ -13,6 +13,7 @@ from wayfold.llm.tokens import word_ids
 
 BLOCK_IDS = 1 << 16
 CHECK_IDS = 64
+STEP_IDS = 1 << 18
 MAX_BITS = 16
 
 
@@ -128,13 +129,26 @@ def _read(b: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u4" if w else "<u2") for w, x in zip(b.column("wide").to_pylist(), b.column("ids").to_pylist())]
 
 
+def _slices(b: pa.RecordBatch):
+    """(from, to, ids of each text) of a batch, about STEP_IDS at a time: bounds the arrays in work."""
+    ids = _read(b)
+    lo = total = 0
+    for hi, x in enumerate(ids):
+        total += len(x)
+        if total >= STEP_IDS:
+            yield lo, hi + 1, ids[lo:hi + 1]
+            lo, total = hi + 1, 0
+    if lo < len(ids):
+        yield lo, len(ids), ids[lo:]
+
+
 def _counts(batches):
     total = np.zeros(0, dtype=np.int64)
     for b in batches:
-        c = np.bincount(np.concatenate([*_read(b), np.empty(0, np.uint32)]).astype(np.int64))
-        total, c = (c, total) if len(c) > len(total) else (total, c)
-        total = total.copy()
-        total[: len(c)] += c
+        for _, _, ids in _slices(b):
+            c = np.bincount(np.concatenate(ids))
+            total, c = (c, total) if len(c) > len(total) else (total, c)
+            total[: len(c)] += c
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["id", "n"])
 
@@ -142,16 +156,15 @@ def _counts(batches):
 def _encode(lengths, codes, key: str):
     def run(batches):
         for b in batches:
-            ids = _read(b)
-            n = np.array([len(x) for x in ids], dtype=np.int64)
-            if not len(n):
-                continue
-            stream, at, checks = encode_ids(np.concatenate(ids).astype(np.int64), n, lengths, codes)
-            ends = np.cumsum(-(-n // CHECK_IDS))
-            marks = [np.diff(x).astype("<u2").tobytes() for x in np.split(checks, ends[:-1])]
-            yield pa.RecordBatch.from_arrays([
-                b.column(0), b.column(1), pa.array([stream[i:j] for i, j in zip(at, at[1:])], pa.binary()), pa.array(marks, pa.binary()),
-            ], names=[key, "n_tokens", "payload", "checks"])
+            for lo, hi, ids in _slices(b):
+                n = np.array([len(x) for x in ids], dtype=np.int64)
+                stream, at, checks = encode_ids(np.concatenate(ids), n, lengths, codes)
+                ends = np.cumsum(-(-n // CHECK_IDS))
+                marks = [np.diff(x).astype("<u2").tobytes() for x in np.split(checks, ends[:-1])]
+                at = at.tolist()
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array([stream[i:j] for i, j in zip(at, at[1:])], pa.binary()), pa.array(marks, pa.binary()),
+                ], names=[key, "n_tokens", "payload", "checks"])
 
     return run
 

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import struct
 
 # texts of these characters alone are cut where letters and others meet; the tokenizer cuts there too
 _PLAIN = re.compile(r"[\n -&(-~À-ÖØ-öø-ÿ]*")
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ\n ]+")
-_ASCII = re.compile(r"[a-z]+")
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
@@ -28,16 +26,17 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        self.model = self.tokenizer.model
         # small ASCII letters reach the merges unchanged
         probe = "probe"
         self.direct = [t.id for t in self.tokenizer.model.tokenize(probe)] == self.tokenizer.encode(probe, add_special_tokens=False).ids
 
     def __missing__(self, piece: str) -> bytes:
-        if self.direct and _ASCII.fullmatch(piece):
-            ids = [t.id for t in self.tokenizer.model.tokenize(piece)]
+        if self.direct and piece.isascii() and piece.isalpha() and piece.islower():
+            ids = [t.id for t in self.model.tokenize(piece)]
         else:
             ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        got = np.array(ids, dtype="<u4").tobytes()
+        got = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) < self.limit:
             self[piece] = got
         return got
