@@ -17,6 +17,7 @@ BLOCK_TOKENS = 1 << 22
 RARE = 24
 MAX_FREQUENT = 1 << 22
 BROADCAST_ROWS = 1 << 20
+LONG_LIST, FAMILY_BLOCK, COLUMNS = 32, 1024, 2048
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 _WIDE = np.uint64((1 << 48) - 1)
 
@@ -290,6 +291,64 @@ def _cross_pairs(lists: DataFrame, parts: DataFrame) -> DataFrame:
     return _possible(a.join(b, "list").filter("i1 < i2 AND p1 <> p2"))
 
 
+def _compare(table: pa.Table) -> pa.Table:
+    """Links between the sets of two blocks of a family, as one edge from each set to the least one it is joined with.
+
+    Common shingles are counted for all pairs at once, as products of 0/1 matrices.
+    """
+    cls, blk = table.column("class").to_numpy(), table.column("blk").to_numpy()
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    order = np.argsort(cls)
+    cls, blk = cls[order], blk[order]
+    bodies = table.column("shingles").to_pylist()
+    sets = [_unpacked(bodies[i]) for i in order]
+    n = np.array([len(x) for x in sets], dtype=np.float32)
+    tokens, col = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), n.astype(np.int64))
+    often = np.bincount(col) > 1
+    keep = often[col]
+    row, col = row[keep], (np.cumsum(often) - 1)[col[keep]]
+    by = np.argsort(col, kind="stable")
+    row, col = row[by], col[by]
+    a, b = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
+    common = np.zeros((len(a), len(b)), dtype=np.float32)
+    for first in range(0, int(often.sum()), COLUMNS):
+        i, j = np.searchsorted(col, [first, first + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        m[row[i:j], col[i:j] - first] = 1
+        common += m[a] @ m[b].T
+    linked = 100 * common >= PERCENT * (n[a][:, None] + n[b][None, :] - common)
+    label = np.arange(len(sets))
+    while True:
+        far = len(sets)
+        down = np.minimum(label[a], np.where(linked, label[b][None, :], far).min(axis=1, initial=far))
+        new = label.copy()
+        new[a] = down
+        new[b] = np.minimum(new[b], np.where(linked, down[:, None], far).min(axis=0, initial=far))
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(sets)))
+    return pa.table({"u": pa.array(cls[label[moved]]), "v": pa.array(cls[moved])})
+
+
+def _family_links(lists: DataFrame, parts: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Joins inside families: classes that long lists chain together.
+
+    A family is dealt to blocks of bounded size, and every two blocks are compared
+    in one task; no row stands for a pair that does not link.
+    """
+    named = _members(lists).join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
+    open_lists = named.groupBy("list").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("list")
+    chains = named.filter("i > 0").join(open_lists, "list", "left_semi").join(lists.select("list", F.col("ids")[0].alias("u")), "list")
+    family = spool(weak_components(chains.select("u", F.col("class").alias("v")).distinct()).select(F.col("node").alias("class"), F.col("component").alias("family")))
+    sizes = spool(family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("blocks")))
+    dealt = family.join(sizes, "family").withColumn("blk", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tasks = dealt.withColumn("o", other).select("family", "class", "blk", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"))
+    return spool(tasks.join(bodies, "class").groupBy("family", "lo", "hi").applyInArrow(_compare, "u bigint, v bigint"))
+
+
 def near_groups(pois: DataFrame, key: str = "poi_id", text: str = "address") -> DataFrame:
     """Groups of records whose texts share at least 80 % of their five-word shingles (Jaccard).
 
@@ -299,7 +358,8 @@ def near_groups(pois: DataFrame, key: str = "poi_id", text: str = "address") ->
     class is compared with one other that shares most keys; then, wherever
     the links found leave a list of sharers in several components, its possible pairs
     between components are compared too, so no link between components is lost
-    and a group of copies of any size costs one comparison for each member.  All
+    and a group of copies of any size costs one comparison for each member.  Long lists
+    that stay apart are compared by blocks instead (:func:`_family_links`).  All
     comparisons are on the whole sets of 48-bit shingle hashes.
 
     Returns one row for each input row: key, n_shingles, component_id (smallest
@@ -332,8 +392,11 @@ def near_groups(pois: DataFrame, key: str = "poi_id", text: str = "address") ->
     firsts = spool(stars.groupBy("v").agg(F.max_by("u", F.struct("keys", -F.col("u"))).alias("u")).select("u", "v"))
     first = linked_pairs(firsts, bodies)
     parts = spool(weak_components(first).select(F.col("node").alias("class"), F.col("component").alias("part")))
-    rest = spool(_cross_pairs(lists, parts).select("u", "v").join(firsts, ["u", "v"], "left_anti"))
+    short, long = lists.filter(F.size("ids") <= LONG_LIST), lists.filter(F.size("ids") > LONG_LIST)
+    rest = spool(_cross_pairs(short, parts).select("u", "v").join(firsts, ["u", "v"], "left_anti"))
     links = first if rest.isEmpty() else first.unionByName(linked_pairs(rest, bodies))
+    if not long.isEmpty():
+        links = links.unionByName(_family_links(long, parts, bodies))
     whole = spool(weak_components(links).select(F.col("node").alias("class"), F.col("component").alias("part")))
     rows = sets.select("key", "n", "class").join(whole, "class", "left").withColumn("part", F.coalesce("part", "class"))
     rows = spool(rows)
