@@ -58,23 +58,22 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 def encode_ids(ids: np.ndarray, n: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Bit stream of several texts (each starts at a byte), their byte offsets, bit offsets of every CHECK_IDS-th id."""
-    bits = lengths[ids].astype(np.int64)
     first = np.concatenate([[0], np.cumsum(n)])
-    ends = np.concatenate([[0], np.cumsum(bits)])
+    ends = np.concatenate([[0], np.cumsum(lengths[ids], dtype=np.int64)])
     size = (ends[first[1:]] - ends[first[:-1]] + 7) // 8
     at = np.concatenate([[0], np.cumsum(size)])
     pos = ends[:-1] + np.repeat(at[:-1] * 8 - ends[first[:-1]], n)
     word = pos >> 5
-    value = codes[ids] << (64 - (pos & 31) - bits).astype(np.uint64)
+    value = (codes << (64 - lengths.astype(np.int64)).astype(np.uint64))[ids] >> (pos & 31).astype(np.uint64)
     out = np.zeros(int(at[-1]) // 4 + 3, dtype=np.uint64)
     if len(ids):
         start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         # codes never share a bit, so sums are unions
         np.add.at(out, word[start], np.add.reduceat(value >> np.uint64(32), start))
         np.add.at(out, word[start] + 1, np.add.reduceat(value & np.uint64(0xFFFFFFFF), start))
-    inside = np.arange(len(ids)) - np.repeat(first[:-1], n)
-    marks = inside % CHECK_IDS == 0
-    checks = (pos - np.repeat(at[:-1] * 8, n))[marks]
+    stretches = -(-n // CHECK_IDS)
+    nth = np.arange(int(stretches.sum())) - np.repeat(np.cumsum(stretches) - stretches, stretches)
+    checks = pos[np.repeat(first[:-1], stretches) + CHECK_IDS * nth] - np.repeat(at[:-1] * 8, stretches)
     return out.astype(">u4").tobytes()[: int(at[-1])], at, checks
 
 
@@ -116,7 +115,7 @@ def _tokens(path: str, end_id: int, key: str):
         ids = word_ids(path)
         for b in batches:
             got = [np.frombuffer(x + end, dtype="<u4") for x in ids.encode([t or "" for t in b.column(1).to_pylist()])]
-            wide = any(len(x) and x.max() > 0xFFFF for x in got)
+            wide = ids.tokenizer.get_vocab_size() > 1 << 16 or end_id > 0xFFFF
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([wide] * len(got)),
                 pa.array([x.astype("<u4" if wide else "<u2").tobytes() for x in got], pa.binary()),
