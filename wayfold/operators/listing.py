@@ -131,7 +131,7 @@ def rules(kind: str) -> dict[str, Column]:
             "currentTime": _text("currentTime", 0, 5, CLOCK_PATTERN),
             "prayer": _one_of("prayer", ["auto", "subuh", "dzuhur", "ashar", "maghrib", "isya"]),
             "maxCandidates": _text("maxCandidates", 0, 2, r"^(?:[1-9]|10)$"),
-            "bufferKm": _text("bufferKm", 0, 64, r"^(?:[2-9]|[1-9]\d|1\d\d|200)(?:\.\d+)?$"),
+            "bufferKm": _text("bufferKm", 0, 1 << 30, r"^(?:[2-9]|[1-9]\d|1\d\d|200)(?:\.\d+)?$"),
             "fuelPricePerLiter": _text("fuelPricePerLiter", 0, 64, NUMBER_PATTERN),
         }
     raise ValueError(f"unknown kind of row: {kind}")
