@@ -13,7 +13,7 @@ from wayfold.runtime import spool
 BUCKETS = 1 << 12
 TRAIN_ROWS = 4096
 EVIDENCE = 4.0
-MAX_STEPS, TOLERANCE = 30, 2e-3
+MAX_STEPS, TOLERANCE = 60, 2e-3
 
 
 def word_list(text: str) -> Column:
