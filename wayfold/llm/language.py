@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 UNKNOWN = "und"
+BATCH_ROWS = 1000
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -58,7 +60,7 @@ def phrases(step: list[dict[str, int]], word: str) -> int:
 class Parser(dict):
     """Row of ``table`` for each word: its letters, then its phrases in every language."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 18
 
     def __init__(self, sample: dict[str, str]):
         self.langs = sorted(sample)
@@ -131,7 +133,7 @@ def identify_language(
     Repeated rows and null keys each keep their row; other columns are not read.
     """
     kind = records.schema[key].dataType.simpleString()
-    parse = _parse(records, labelled, key, text, label, texts_per_language)
+    parse = _parse(records, labelled, key, text, label, texts_per_language, None)
     return records.select(F.col(key).alias("row"), F.col(text).alias("text")).mapInArrow(
         parse, f"row {kind}, lang_pred string, score double, bits_per_letter double").withColumnRenamed("row", key)
 
@@ -140,14 +142,14 @@ def without_unidentified(
     records: DataFrame, labelled: DataFrame, key: str = "poi_id", text: str = "address", label: str = "lang", texts_per_language: int = 96,
 ) -> DataFrame:
     """Records whose language :func:`identify_language` tells (not ``und``), with all their columns, in one pass."""
-    parse = _parse(records, labelled, key, text, label, texts_per_language)
-    rows = records.select(F.struct(*[F.col(c) for c in records.columns]).alias("row"), F.col(text).alias("text"))
+    parse = _parse(records, labelled, key, text, label, texts_per_language, records.columns.index(text))
+    rows = records.select(F.struct(*[F.col(c) for c in records.columns]).alias("row"))
     found = rows.mapInArrow(parse, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, bits_per_letter double")
     return found.filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
-def _parse(records: DataFrame, labelled: DataFrame, key: str, text: str, label: str, texts_per_language: int):
-    """Rows of any payload and a text: payload, language, score, bits per letter."""
+def _parse(records: DataFrame, labelled: DataFrame, key: str, text: str, label: str, texts_per_language: int, field: int | None):
+    """Rows of a payload and a text (or with the text as a field of the payload): payload, language, score, bits per letter."""
     sample = training_sample(labelled, key, text, label, texts_per_language)
     shared = records.sparkSession.sparkContext.broadcast(sample)
     name = repr(sorted((k, len(v), hash(v)) for k, v in sample.items()))
@@ -157,9 +159,9 @@ def _parse(records: DataFrame, labelled: DataFrame, key: str, text: str, label:
             _parsers.clear()
             _parsers[name] = Parser(shared.value)
         p = _parsers[name]
-        for b in batches:
+        for b in (x.slice(i, BATCH_ROWS) for x in batches for i in range(0, x.num_rows, BATCH_ROWS)):
             lang, score, cost = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in (b.column(1) if field is None else pc.struct_field(b.column(0), field)).to_pylist():
                 got = p.parse(t or "")
                 if not p.langs or got[0] == 0:
                     lang.append(UNKNOWN), score.append(0.0), cost.append(None)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wayfold.llm.common import text_bytes
@@ -13,7 +14,7 @@ from wayfold.runtime import spool
 BUCKETS = 1 << 12
 TRAIN_ROWS = 4096
 EVIDENCE = 4.0
-MAX_STEPS, TOLERANCE = 60, 2e-3
+MAX_STEPS, TOLERANCE = 15, 2e-3
 
 
 def word_list(text: str) -> Column:
@@ -91,26 +92,26 @@ def _rate(steps: list[list[float]], k: int) -> Column:
 def fit_rates(rows: DataFrame, weights: list[float]) -> list[list[float]]:
     """Steps of projected gradient descent on the squared misses of domain token totals.
 
-    Misses are weighed by each domain's share, which keeps a step of 1 stable.  A
-    document's rate depends on its posteriors and the steps alone, so a step costs
-    one pass over the posterior table and a few sums; nothing is written between.
+    Misses are weighed by the inverse Gram matrix of the memberships (a fixed preconditioner), so few
+    steps are needed.  A document's rate depends on its posteriors and the steps alone: a step costs
+    one pass over the posterior table and a few sums, and nothing is written between.
     """
     k = len(weights)
-    n = F.col("n_tokens")
-    first = rows.agg(F.coalesce(F.sum(n), F.lit(0)), *[F.coalesce(F.sum(n * F.col(f"p{i}")), F.lit(0.0)) for i in range(k)]).first()
-    total = first[0]
+    n, p = F.col("n_tokens"), [F.col(f"p{i}") for i in range(k)]
+    sums = rows.agg(F.coalesce(F.sum(n), F.lit(0)), *[F.coalesce(F.sum(n * a * b), F.lit(0.0)) for a in p for b in p]).first()
+    total = sums[0]
     if not total:
         return []
-    mass = [max(x / total, 1e-9) for x in first[1:]]
+    gram = np.array(sums[1:], dtype=float).reshape(k, k) / total
+    now, goal = gram.sum(axis=1), np.array(weights)
+    inverse = np.linalg.inv(gram + 1e-6 * np.eye(k))
     steps: list[list[float]] = []
-    now = mass
     for _ in range(MAX_STEPS):
-        miss = [a - b for a, b in zip(now, weights)]
-        if max(map(abs, miss)) < TOLERANCE:
+        if np.abs(now - goal).max() < TOLERANCE:
             break
-        steps.append([m / s for m, s in zip(miss, mass)])
+        steps.append((inverse @ (now - goal)).tolist())
         r = rows.select("*", _rate(steps, k).alias("r"))
-        now = [x / total for x in r.agg(*[F.sum(n * F.col("r") * F.col(f"p{i}")) for i in range(k)]).first()]
+        now = np.array(r.agg(*[F.sum(n * F.col("r") * x) for x in p]).first(), dtype=float) / total
     return steps
 
 
