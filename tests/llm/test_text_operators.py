@@ -167,7 +167,9 @@ def test_scores(pois, none):
     assert score_texts(none, remainder("poi_id", 7) == 2).count() == 0
 
 
-def test_bm25(pois, none):
+@pytest.mark.parametrize("shard_tokens", [1 << 20, 300])
+def test_bm25(pois, none, monkeypatch, shard_tokens):
+    monkeypatch.setattr("wayfold.llm.ranked_search.SHARD_TOKENS", shard_tokens)
     docs = [(r[0], Counter(words(r[1]))) for r in addresses() if r[0] is not None]
     avg = sum(sum(c.values()) for _, c in docs) / len(docs)
     df = Counter(w for _, c in docs for w in c)
