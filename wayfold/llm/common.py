@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 16
 
 
 class WordHashes(dict):

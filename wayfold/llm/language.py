@@ -60,7 +60,7 @@ def phrases(step: list[dict[str, int]], word: str) -> int:
 class Parser(dict):
     """Row of ``table`` for each word: its letters, then its phrases in every language."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 16
 
     def __init__(self, sample: dict[str, str]):
         self.langs = sorted(sample)
