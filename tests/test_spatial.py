@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from wayfold.operators import geometry, nearest
@@ -43,3 +45,17 @@ def test_simplify_and_cut(spark):
     assert r.kept_points == 3
     assert [(round(p.lat, 9), round(p.lon, 9)) for p in r.cut] == [(0.0, 0.5), (0.0, 1.0), (0.5, 1.0)]
     assert [tuple(p) for p in r.back] == [tuple(p) for p in reversed(r.cut)]
+
+
+def test_crowded_spot_keeps_both_orders(spark):
+    """More points on one spot than the index keeps: by priority and by id the right ones survive; asking for more is refused."""
+    from wayfold.operators import nearest
+
+    pois = spark.range(40).select(F.col("id").alias("poi_id"), F.lit(-6.2).alias("lat"), F.lit(106.8).alias("lon"), (F.col("id") / 40.0).alias("priority_score"))
+    index = nearest.retrieval_index(pois, max_k=5)
+    ask = spark.createDataFrame([(1, -6.2, 106.8, 1.0, 3)], "query_id long, lat double, lon double, radius_km double, k int")
+    assert sorted(r.poi_id for r in nearest.nearest_points(ask, index, max_k=5).collect()) == [0, 1, 2]
+    trip = spark.createDataFrame([(1, -6.2, 106.8, -6.2, 106.9, 5.0, 5.0, 3)], "request_id long, o_lat double, o_lon double, d_lat double, d_lon double, corridor_km double, fallback_radius_km double, k int")
+    assert sorted(r.poi_id for r in nearest.corridor_candidates(trip, index, max_k=5).collect()) == [37, 38, 39]
+    with pytest.raises(ValueError):
+        nearest.nearest_points(ask, index, max_k=6)

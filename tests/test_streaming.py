@@ -90,3 +90,13 @@ def test_snapshots_survive_restarted_batch_numbers(spark, tmp_path):
     table.upsert(row("a", "2024-01-01 00:01:00", 3), 1)
     assert {(r.road_segment_id, r.sample_count) for r in table.read().collect()} == {("a", 3), ("b", 2)}
     assert len([p for p in (tmp_path / "snap").iterdir() if p.name.startswith("v")]) == 2
+
+
+def test_traffic_slows_both_directions_of_its_region(spark):
+    edges = spark.createDataFrame([(1, 2, 10.0, "R"), (2, 1, 12.0, "R"), (1, 2, 10.0, "Q"), (9, 10, 5.0, "R"), (10, 9, 5.0, "R")], "u long, v long, travel_time double, region_id string")
+    snaps = spark.createDataFrame([("R", "1_2", 2.0), ("Q", "2_1", None), ("Q", "9_10", 3.0), ("R", "10_9", 0.5), ("R", "S1", 4.0)], "region_id string, road_segment_id string, travel_time_multiplier double")
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    assert key(traffic.apply_traffic(edges, snaps)) == [(1, 2, 10.0, "Q"), (1, 2, 20.0, "R"), (2, 1, 24.0, "R"), (9, 10, 5.0, "R"), (10, 9, 5.0, "R")]
+    plain = edges.filter("region_id = 'R'").drop("region_id")
+    assert key(traffic.apply_traffic(plain, snaps, "Q")) == [(1, 2, 10.0), (2, 1, 12.0), (9, 10, 15.0), (10, 9, 15.0)]
+    assert key(traffic.apply_traffic(plain, snaps)) == [(1, 2, 20.0), (2, 1, 24.0), (9, 10, 15.0), (10, 9, 15.0)]

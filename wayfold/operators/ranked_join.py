@@ -45,6 +45,7 @@ class SpatialIndex:
     classes: list[tuple]  # (_cls, half height, half width, south, north, west, east); at most a few dozen
     deepest: int
     stats: list[str]
+    spot_k: int | None = None  # of points at one spot only so many per order are kept
 
 
 def _size(level: Column) -> Column:
