@@ -195,7 +195,7 @@ def scored(spark, sf):
     label, progress = scoring.arrival_label(F.col("arrival_status"), F.when(F.col("arrival_status") != "unknown", F.col("minutes_before")))
     return r.select(
         "request_id", "poi_id", F.col("multi_objective_score").alias("score"), F.round("prayer_penalty", 6).alias("penalty"),
-        "arrival_status", "cost", label.alias("label"), F.round(progress, 3).alias("progress"),
+        "arrival_status", "cost", label.alias("label"), F.round(progress, 3).alias("progress"), "position",
     )
 
 
@@ -204,7 +204,8 @@ ORACLE["G4_G7_E3_scores"] = sql_with(["moo"], """
 , mb AS (SELECT *, round(bef,1) AS rb FROM moo)
 SELECT request_id, poi_id, round(score,4) AS score, round(pen,6) AS penalty, status AS arrival_status, cost,
   CASE WHEN status='unknown' THEN 'unavailable' WHEN status='after_prayer' OR rb<0 THEN 'late' WHEN rb<=15 THEN 'tight' ELSE 'safe' END AS label,
-  round(CASE WHEN status='unknown' OR status='after_prayer' OR rb<0 THEN 0e0 WHEN rb<=15 THEN least(100e0,greatest(10e0,rb/15e0*100e0)) ELSE least(100e0,rb/30e0*100e0) END,3) AS progress
+  round(CASE WHEN status='unknown' OR status='after_prayer' OR rb<0 THEN 0e0 WHEN rb<=15 THEN least(100e0,greatest(10e0,rb/15e0*100e0)) ELSE least(100e0,rb/30e0*100e0) END,3) AS progress,
+  CAST(row_number() OVER (PARTITION BY request_id ORDER BY round(score,4), i, poi_id) AS INT) AS position
 FROM mb
 """, _CAND)
 
