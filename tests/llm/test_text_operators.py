@@ -17,7 +17,7 @@ from wayfold.llm.language import identify_language, without_unidentified
 from wayfold.llm.language_model import score_texts
 from wayfold.llm.mixing import apply_mix, mix_to_targets
 from wayfold.llm.packing import pack_sequences, sum_of_squares
-from wayfold.llm.private_data import find_private, joined
+from wayfold.llm.private_data import _best, find_private, joined
 from wayfold.llm.queries import tokenizer_path
 from wayfold.llm.ranked_search import bm25_top
 from wayfold.llm.token_files import canonical_codes, code_lengths, decode_ids, decode_table, encode_ids, read_token_files, write_token_files
@@ -208,6 +208,54 @@ def test_private_data(pois, none):
     assert all(r.s == "" for k, r in rows.items() if k != 29) and find_private(none).count() == 0
 
 
+def private_texts(kinds, n=160):
+    """Matches of the fixed patterns that pass beside a cue word, and alike ones that fail without one."""
+    rng = np.random.default_rng(3)
+    some = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    check = lambda d: str(-sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10)
+    octet = lambda: rng.integers(1, 256)
+    texts = []
+    for i in range(n):
+        d = some(15)
+        good, bad = d + check(d), d + str((int(check(d)) + 1) % 10)
+        cut = lambda x: [x, f"{x[:4]} {x[4:8]} {x[8:12]} {x[12:]}", f"{x[:4]} {x[4:10]} {x[10:]}"][i % 3]
+        phone = [f"+{some(2)} {some(3)} {some(4)}", f"+{some(1)} ({some(3)}) {some(3)}-{some(4)}", f"+{some(2)}.{some(3)}.{some(3)}", f"+{some(4)}-{some(4)}-{some(4)}"][i % 4]
+        ip = f"{octet()}.{octet()}.{octet()}"
+        texts += {
+            "card": [f"pay by card {cut(good)} today", f"about {cut(bad)} trees grow"],
+            "phone": [f"please call {phone} today", f"about {phone} {some(4)} {some(4)} birds"],
+            "ip": [f"the server host {ip}.{octet()} runs", f"section {ip}.999 ends"],
+            "email": [f"mail to a.b{i}@masjid.id today", f"about {i + 10} birds"],
+        }[kinds[i % len(kinds)]]
+    return texts
+
+
+LOOSE_TEXTS = {
+    ("phone",): {
+        "please call (555) 123-4567 today": "phone:12:26", "please call 0812-3456-7890 today": "phone:12:26", "please call 555.123.4567 today": "phone:12:24",
+    },
+    ("card",): {"pay by card 3782 822463 10005 today": "card:12:29"},
+    ("ip", "email"): {"the server host 2001:db8:85a3:8a2e:370:7334 runs": "ip:16:43", "mail to imam12 (at) masjid.id today": "email:8:29"},
+}
+
+
+@pytest.mark.parametrize("kinds", LOOSE_TEXTS)
+def test_private_data_adds_over_failed_matches(spark, kinds):
+    want = LOOSE_TEXTS[kinds]
+    texts = private_texts(kinds, 320) + list(want)
+    rows = find_private(spark.createDataFrame(list(enumerate(texts)), "poi_id bigint, address string")).withColumn("s", joined(F.col("spans"))).collect()
+    got = {texts[r.poi_id]: r for r in rows}
+    assert {t: got[t].s for t in want} == want and all(not got[t].base for t in want)
+    # a base span keeps its place alone
+    assert all(r.spans == r.base for r in rows if r.base)
+
+
+def test_best_candidates_of_overlapping_ones(spark):
+    rows = [(1, 0, 0, 5, 0.9), (1, 1, 4, 10, 0.8), (1, 2, 9, 12, 0.7), (1, 3, 12, 14, 0.6), (2, 0, 0, 5, 0.6), (2, 1, 4, 10, 0.8), (3, 2, 0, 5, 0.7), (3, 3, 0, 6, 0.7)]
+    got = _best(spark.createDataFrame(rows, "row bigint, no int, start bigint, end bigint, p double")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0, 5), (1, 2, 9, 12), (1, 3, 12, 14), (2, 1, 4, 10), (3, 3, 0, 6)]
+
+
 def test_mixing(pois, none):
     targets = {"mosque": 0.5, "hall": 0.5}
     rows = mix_to_targets(pois, pois.filter("poi_id < 14"), targets).collect()
