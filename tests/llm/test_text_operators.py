@@ -250,6 +250,20 @@ def test_private_data_adds_over_failed_matches(spark, kinds):
     assert all(r.spans == r.base for r in rows if r.base)
 
 
+def test_private_data_of_rare_kinds(spark, monkeypatch):
+    """A rare kind beside many failed cards keeps its examples; a table with few examples of a label is judged too."""
+    monkeypatch.setattr("wayfold.llm.private_data.TRAIN_ROWS", 1600)
+    many = [f"about {i} {1000 + i} birds {2000 + i} trees {3000 + i} hills {i + 7} days" for i in range(6000)]
+    few = [f"mail to {a}.{b}@masjid.id today" for a in "abcdefgh" for b in "uvwxyz"] + [f"about {i} birds" for i in range(10, 28)]
+    for texts, want in (
+        (private_texts(("phone",), 240) + many + ["please call 555.123.4567 today"], ["phone:12:24"]),
+        (few + ["mail to imam (at) masjid.id today"], ["email:8:27"]),
+    ):
+        rows = find_private(spark.createDataFrame(list(enumerate(texts)), "poi_id bigint, address string")).withColumn("s", joined(F.col("spans"))).collect()
+        got = {r.poi_id: r.s for r in rows}
+        assert [got[len(texts) - len(want) + i] for i in range(len(want))] == want
+
+
 def test_best_candidates_of_overlapping_ones(spark):
     rows = [(1, 0, 0, 5, 0.9), (1, 1, 4, 10, 0.8), (1, 2, 9, 12, 0.7), (1, 3, 12, 14, 0.6), (2, 0, 0, 5, 0.6), (2, 1, 4, 10, 0.8), (3, 2, 0, 5, 0.7), (3, 3, 0, 6, 0.7)]
     got = _best(spark.createDataFrame(rows, "row bigint, no int, start bigint, end bigint, p double")).collect()
