@@ -15,7 +15,7 @@ from wayfold.llm.exact_dedup import exact_groups, without_dropped
 from wayfold.llm.jaccard_join import near_groups, without_copies
 from wayfold.llm.language import identify_language, without_unidentified
 from wayfold.llm.language_model import score_texts
-from wayfold.llm.mixing import apply_mix, mix_to_targets
+from wayfold.llm.mixing import apply_mix, fit_rates, mix_to_targets
 from wayfold.llm.packing import pack_sequences, sum_of_squares
 from wayfold.llm.private_data import _best, find_private, joined
 from wayfold.llm.queries import tokenizer_path
@@ -280,3 +280,19 @@ def test_mixing(pois, none):
     rates = mix_to_targets(pois, pois.filter("poi_id < 14"), targets)
     assert apply_mix(pois, rates).count() == sum(r.copies for r in rows)
     assert mix_to_targets(none, none, targets).count() == 0
+
+
+def test_rates_meet_far_targets(spark):
+    rng = np.random.default_rng(4)
+    schema = "n_tokens bigint, p0 double, p1 double, p2 double"
+    soft = rng.dirichlet([0.9, 0.08, 0.02], 3000)
+    n = rng.integers(1, 50, len(soft))
+    rows = spark.createDataFrame([(int(a), *map(float, x)) for a, x in zip(n, soft)], schema).cache()
+    for goal in ([1 / 3] * 3, [0.985, 0.011, 0.004], [0.05, 0.05, 0.9]):
+        rate = np.maximum(0, 1 - soft @ np.array(fit_rates(rows, goal)))
+        assert np.abs((n * rate) @ soft / n.sum() / goal - 1).max() < 1e-3
+    # memberships all equal: 1/3 each is the nearest that can be reached
+    flat = spark.createDataFrame([(5, 1 / 3, 1 / 3, 1 / 3)] * 4, schema)
+    with pytest.warns(UserWarning, match="cannot be met"):
+        move = fit_rates(flat, [0.6, 0.3, 0.1])
+    assert abs(1 - sum(move) / 3 - 1) < 1e-3

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,7 +15,7 @@ from wayfold.runtime import spool
 BUCKETS = 1 << 12
 TRAIN_ROWS = 4096
 EVIDENCE = 4.0
-MAX_STEPS, TOLERANCE = 15, 2e-3
+MOST_STEPS, TOLERANCE, RIDGE = 200, 1e-4, 1e-10
 
 
 def word_list(text: str) -> Column:
@@ -78,41 +79,60 @@ def posteriors(pois: DataFrame, model: tuple, domains: list[str], key: str, text
     return top.select("key", "h", "n_tokens", *[(F.col("e")[i] / total).alias(f"p{i}") for i in range(len(domains))])
 
 
-def _rate(steps: list[list[float]], k: int) -> Column:
-    """Rate after the given steps: each moves along the posteriors and is cut at zero."""
-    r = F.lit(1.0)
-    for step in steps:
-        move = F.lit(0.0)
-        for i in range(k):
-            move = move + F.col(f"p{i}") * step[i]
-        r = F.greatest(F.lit(0.0), r - move)
-    return r
+def _rate(steps: list[float]) -> Column:
+    """Rate of a row: one, moved along the posteriors and cut at zero."""
+    move = F.lit(0.0)
+    for i, step in enumerate(steps):
+        move = move + F.col(f"p{i}") * float(step)
+    return F.greatest(F.lit(0.0), F.lit(1.0) - move)
 
 
-def fit_rates(rows: DataFrame, weights: list[float]) -> list[list[float]]:
-    """Steps of projected gradient descent on the squared misses of domain token totals.
+def fit_rates(rows: DataFrame, weights: list[float]) -> list[float]:
+    """The move along the posteriors whose rates solve least squares on the misses of domain token totals.
 
-    Misses are weighed by the inverse Gram matrix of the memberships (a fixed preconditioner), so few
-    steps are needed.  A document's rate depends on its posteriors and the steps alone: a step costs
-    one pass over the posterior table and a few sums, and nothing is written between.
+    Of all solutions the one nearest to rates of one is taken: half the squared misses plus RIDGE times half
+    the token-weighted squared distance from one.  Its rates are max(0, 1 - move * posteriors), where RIDGE * move are
+    the misses: a convex problem in as many numbers as domains, solved by Newton steps on the Gram matrix of the rows
+    with positive rate, with a line search, until the optimality condition holds to TOLERANCE of each target.
+    A step costs one or two passes over the posterior table and a few sums; nothing is written between.
+    Where targets cannot be met the reached totals are told in a warning.
     """
     k = len(weights)
     n, p = F.col("n_tokens"), [F.col(f"p{i}") for i in range(k)]
-    sums = rows.agg(F.coalesce(F.sum(n), F.lit(0)), *[F.coalesce(F.sum(n * a * b), F.lit(0.0)) for a in p for b in p]).first()
-    total = sums[0]
+    total = rows.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     if not total:
-        return []
-    gram = np.array(sums[1:], dtype=float).reshape(k, k) / total
-    now, goal = gram.sum(axis=1), np.array(weights)
-    inverse = np.linalg.inv(gram + 1e-6 * np.eye(k))
-    steps: list[list[float]] = []
-    for _ in range(MAX_STEPS):
-        if np.abs(now - goal).max() < TOLERANCE:
+        return [0.0] * k
+    goal, (up, down) = np.array(weights), np.triu_indices(k)
+    worth = lambda squares, move: squares / total / 2 + goal @ move + RIDGE / 2 * (move @ move)
+
+    def at(move):
+        """Height, gradient and curvature of the problem, and the domain totals, at a move."""
+        r = F.col("r")
+        live = F.when(r > 0, n).otherwise(0)
+        got = np.array(rows.withColumn("r", _rate(move)).agg(
+            F.sum(n * r * r), *[F.sum(n * r * x) for x in p], *[F.sum(live * p[i] * p[j]) for i, j in zip(up, down)]).first(), dtype=float)
+        now, curve = got[1:k + 1] / total, np.zeros((k, k))
+        curve[up, down] = curve[down, up] = got[k + 1:] / total
+        return worth(got[0], move), goal - now + RIDGE * move, curve + RIDGE * np.eye(k), now
+
+    move = np.zeros(k)
+    height, slope, curve, now = at(move)
+    for _ in range(MOST_STEPS):
+        if (np.abs(slope) <= TOLERANCE * np.maximum(goal, TOLERANCE)).all():
             break
-        steps.append((inverse @ (now - goal)).tolist())
-        r = rows.select("*", _rate(steps, k).alias("r"))
-        now = np.array(r.agg(*[F.sum(n * F.col("r") * x) for x in p]).first(), dtype=float) / total
-    return steps
+        step = -np.linalg.solve(curve, slope)
+        new = at(move + step)
+        if new[0] > height + 1e-4 * (slope @ step):
+            sizes = 0.5 ** np.arange(1, 41)
+            squares = rows.agg(*[F.sum(n * _rate(move + t * step) * _rate(move + t * step)) for t in sizes]).first()
+            step = step * min((worth(x, move + t * step), t) for x, t in zip(squares, sizes))[1]
+            new = at(move + step)
+        move, (height, slope, curve, now) = move + step, new
+    else:
+        raise RuntimeError(f"rates not settled after {MOST_STEPS} steps: totals {now.tolist()}, targets {goal.tolist()}")
+    if (np.abs(now - goal) > 10 * TOLERANCE * np.maximum(goal, TOLERANCE)).any():
+        warnings.warn(f"targets {goal.tolist()} cannot be met; domain totals reached: {now.tolist()}")
+    return move.tolist()
 
 
 def mix_to_targets(
@@ -124,7 +144,7 @@ def mix_to_targets(
     ``labelled`` has ``key`` and ``label`` (a domain of ``targets``) for some records; a classifier learnt from
     a bounded sample of them gives every text soft memberships.  Rates solve
     least squares on the misses of the domain totals (targets times all tokens,
-    tokens being words) by projected gradient steps from 1.  ``copies`` is the rate
+    tokens being words), as near to 1 as that allows (``fit_rates``).  ``copies`` is the rate
     rounded up or down by a hash of key and text, so that totals are met on average.
 
     Returns key, text_hash, n_tokens, p_<domain> for each target, rate, copies: one row for
@@ -137,7 +157,7 @@ def mix_to_targets(
     model = fit_domains(pois, labelled, domains, key, text, label, train_rows)
     rows = spool(posteriors(pois, model, domains, key, text))
     steps = fit_rates(rows, [targets[d] / whole for d in domains])
-    rate = _rate(steps, len(domains))
+    rate = _rate(steps)
     chance = F.pmod(F.xxhash64(F.col("key").cast("string"), "h", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     out = rows.select("*", rate.alias("rate"))
     return out.select(
