@@ -208,6 +208,12 @@ def test_private_data(pois, none):
     assert all(r.s == "" for k, r in rows.items() if k != 29) and find_private(none).count() == 0
 
 
+def test_url_rules_of_open_tokens_and_blanks(spark):
+    urls = ["http://m.a.org/b/12.htmlx", "http://m.a.org/b/", "http://m.a.org/c/", "http://a.org/1.html", "http://a b.com/x", "http://a b.net/es/x", "http://a.org/com#/"]
+    got = [r.verdict + " " + str(r.rule) for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")).orderBy("page_id").collect()]
+    assert got == ["block None", "allow None", "allow None", "allow None", "allow com/", "block net/es/", "allow None"]
+
+
 def private_texts(kinds, n=160):
     """Matches of the fixed patterns that pass beside a cue word, and alike ones that fail without one."""
     rng = np.random.default_rng(3)

@@ -12,11 +12,11 @@ HOST_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
-# pattern rules for what no host rule fits: (verdict, pattern over the whole url, tokens every match contains)
+# pattern rules for what no host rule fits: (verdict, pattern over the whole url, whole tokens of every url that matches: bounded on both sides within the pattern)
 PATTERN_RULES = [
     ("block", r"[?&]utm_[a-z]+=", ["utm"]),
     ("block", r"[?&]page=[0-9]+&ref=", ["page", "ref"]),
-    ("block", r"://m\.[^/]*/[a-z]+/[0-9]+\.html", ["m", "html"]),
+    ("block", r"://m\.[^/]*/[a-z]+/[0-9]+\.html", ["m"]),
 ]
 TOKEN_GAP = "[^a-z0-9]+"
 
@@ -37,9 +37,12 @@ def host_rule_tokens(host: str, path: str) -> list[str]:
 
 
 def rule_table(pages: DataFrame, host_rules, pattern_rules) -> DataFrame:
-    """rule, verdict, subject, pattern, width, tokens."""
+    """rule, verdict, subject, pattern, width, tokens.
+
+    A site is host and path around a ``#``, which neither can hold.
+    """
     rows = [
-        (h + p, v, "site", rf"^(?:[^ ]*\.)?{re.escape(h)} {re.escape(p)}", len(h + p), host_rule_tokens(h, p)) for v, h, p in host_rules
+        (h + p, v, "site", rf"^(?:[^#]*\.)?{re.escape(h)}#{re.escape(p)}", len(h + p), host_rule_tokens(h, p)) for v, h, p in host_rules
     ] + [(pattern, v, "url", pattern, len(pattern), tokens) for v, pattern, tokens in pattern_rules]
     return pages.sparkSession.createDataFrame(
         rows, "rule string, verdict string, subject string, pattern string, width int, tokens array<string>")
@@ -71,7 +74,7 @@ def judge_urls(
     # rules are few and given: their tokens are a small table
     seen = met.join(F.broadcast(wanted.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("urls"))
     index = wanted.join(seen, "token").groupBy("rule").agg(F.min_by("token", F.struct("urls", "token")).alias("token")).join(rules.drop("tokens"), "rule")
-    subject = F.when(F.col("subject") == "site", F.concat_ws(" ", "h", "p")).otherwise(F.col("u"))
+    subject = F.when(F.col("subject") == "site", F.concat_ws("#", "h", "p")).otherwise(F.col("u"))
     hits = met.join(F.broadcast(index), "token").withColumn("s", subject).filter(F.expr("s RLIKE pattern"))
     order = F.struct(F.col("width"), F.col("rule"), F.col("verdict"))
     site = F.when(F.col("subject") == "site", order)
