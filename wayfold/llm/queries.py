@@ -17,6 +17,7 @@ from wayfold.llm.private_data import find_private, joined
 from wayfold.llm.ranked_search import bm25_top
 from wayfold.llm.token_files import read_token_files, write_token_files
 from wayfold.llm.url_rules import HOST_RULES, PATTERN_RULES, judge_urls
+from wayfold.llm.warc_archive import read_archive, write_archive
 from wayfold.runtime import shared_dir
 
 
@@ -91,6 +92,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("poi_id").alias("doc_id"), (remainder("poi_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/wayfold/warc-{uuid.uuid4().hex}"
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    write_archive(pages, path, key="page_id", payload="html", uri="url", content_type="text/html; charset=utf-8")
+    return read_archive(spark, path, key="page_id", kind="bigint", with_payload=False).drop("uri")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -102,6 +110,7 @@ QUERIES = {
     "op8_bm25": op8_bm25,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_language": op10_language,
+    "op11_warc": op11_warc,
 }
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in HOST_RULES)
@@ -110,6 +119,11 @@ _LONGEST = "CASE " + " ".join(
     f"WHEN regexp_matches(url, '{p}') THEN '{p}'" for _, p, _ in sorted(PATTERN_RULES, key=lambda r: (len(r[1]), r[1]), reverse=True)) + " END"
 
 ORACLE = {
+    "op11_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT h, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM p LEFT JOIN g ON p.h = g.h""",
     "op6_url_rules": rf"""
 WITH rules(verdict, host, path) AS (VALUES {_RULES}),
 u AS (SELECT row_number() OVER () AS rn, page_id, url,
