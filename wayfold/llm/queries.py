@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayfold.llm.common import remainder
+from wayfold.llm.divergence import audit_divergence
 from wayfold.llm.exact_dedup import exact_groups
 from wayfold.llm.jaccard_join import near_groups
 from wayfold.llm.language import identify_language
@@ -99,6 +100,11 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(spark, path, key="page_id", kind="bigint", with_payload=False).drop("uri")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = audit_divergence(documents(spark, sf_dir, F.col("lang").alias("province"), F.col("source").alias("dataset_id")))
+    return got.withColumnsRenamed({"province": "lang", "dataset_id": "source"})
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -111,6 +117,7 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_language": op10_language,
     "op11_warc": op11_warc,
+    "op12_divergence": op12_divergence,
 }
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in HOST_RULES)
@@ -119,6 +126,27 @@ _LONGEST = "CASE " + " ".join(
     f"WHEN regexp_matches(url, '{p}') THEN '{p}'" for _, p, _ in sorted(PATTERN_RULES, key=lambda r: (len(r[1]), r[1]), reverse=True)) + " END"
 
 ORACLE = {
+    "op12_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 3),
+vs AS (SELECT lang, count(*) AS v, sum(c)::HUGEINT AS n FROM kept GROUP BY lang),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM w JOIN kept k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+ns AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM c GROUP BY lang, source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+    1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 1) // (coalesce(ns.n, 0) + vs.v) AS p,
+    1 + 1000000000::HUGEINT * (k.c + 1) // (vs.n + vs.v) AS q
+  FROM g JOIN kept k ON g.lang = k.lang JOIN vs ON vs.lang = g.lang LEFT JOIN ns ON ns.lang = g.lang AND ns.source = g.source
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS v
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.v, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) QUALIFY part = 'pair' OR rank <= 200""",
     "op11_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
 g AS (SELECT h, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY h)
