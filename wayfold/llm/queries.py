@@ -16,6 +16,7 @@ from wayfold.llm.mixing import mix_to_targets
 from wayfold.llm.packing import pack_sequences
 from wayfold.llm.private_data import find_private, joined
 from wayfold.llm.ranked_search import bm25_top
+from wayfold.llm.spelling import spelling_variants
 from wayfold.llm.token_files import read_token_files, write_token_files
 from wayfold.llm.url_rules import HOST_RULES, PATTERN_RULES, judge_urls
 from wayfold.llm.warc_archive import read_archive, write_archive
@@ -105,6 +106,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumnsRenamed({"province": "lang", "dataset_id": "source"})
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir), slip=97)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -118,6 +123,7 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_warc": op11_warc,
     "op12_divergence": op12_divergence,
+    "op13_spelling": op13_spelling,
 }
 
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in HOST_RULES)
