@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wayfold.llm.common import shuffle_width, text_bytes
 from wayfold.runtime import spool
 
-SLICE_BYTES = 1 << 24
+SLICE_BYTES = 1 << 23
 CELLS = 1 << 18
 SHARE = 1_000_000_000
 
