@@ -14,8 +14,9 @@ from wayfold.runtime import spool
 
 BUCKETS = 1 << 12
 TRAIN_ROWS = 4096
-EVIDENCE = 4.0
-MOST_STEPS, TOLERANCE, RIDGE = 200, 1e-4, 1e-10
+EVIDENCE, KNOWN = 64.0, 12.0
+PULL, SETTLED, MOST_STEPS = 1e-4, 1e-6, 200
+HISTORY, SPOOL_STEPS = 10, 4
 
 
 def word_list(text: str) -> Column:
@@ -56,8 +57,8 @@ def fit_domains(pois: DataFrame, labelled: DataFrame, domains: list[str], key: s
     return prior, tables[0], tables[1]
 
 
-def posteriors(pois: DataFrame, model: tuple, domains: list[str], key: str, text: str) -> DataFrame:
-    """key, h (hash of the text), n_tokens and the posterior of each domain (p0, p1 ...)."""
+def posteriors(pois: DataFrame, labelled: DataFrame, model: tuple, domains: list[str], key: str, text: str, label: str) -> DataFrame:
+    """key, h (hash of the text), n_tokens and the posterior of each domain (p0, p1 ...); a record's own label counts as KNOWN nats of evidence."""
     prior, whole, ends = model
     table = lambda x: F.from_json(F.lit(json.dumps(x)), "array<double>")
     fields = [f"s{i}" for i in range(1, len(domains))]
@@ -70,97 +71,101 @@ def posteriors(pois: DataFrame, model: tuple, domains: list[str], key: str, text
     sums = F.aggregate("w", F.struct(*[F.lit(0.0).alias(f) for f in fields]), add)
     rows = pois.select(F.col(key).alias("key"), F.xxhash64(text_bytes(text)).alias("h"), word_list(text).alias("w"))
     rows = rows.select("key", "h", F.size("w").cast("long").alias("n_tokens"), sums.alias("s"))
+    known = labelled.filter(F.col(label).isin(domains)).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("known"))
+    rows = rows.join(known, "key", "left")
     # evidence of a long text counts as that of a fixed number of words, so membership stays soft
     scale = F.lit(EVIDENCE) / F.greatest(F.lit(EVIDENCE), F.col("n_tokens"))
-    rows = rows.select("key", "h", "n_tokens", F.array(F.lit(0.0), *[
-        F.col("s")[f] * scale + (prior[domains[i + 1]] - prior[domains[0]]) for i, f in enumerate(fields)]).alias("l"))
+    own = lambda d: F.when(F.col("known") == d, KNOWN).otherwise(0.0)
+    rows = rows.select("key", "h", "n_tokens", F.array(own(domains[0]), *[
+        F.col("s")[f] * scale + (prior[d] - prior[domains[0]]) + own(d) for d, f in zip(domains[1:], fields)]).alias("l"))
     top = rows.select("*", F.transform("l", lambda x: F.exp(x - F.array_max("l"))).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     return top.select("key", "h", "n_tokens", *[(F.col("e")[i] / total).alias(f"p{i}") for i in range(len(domains))])
 
 
-def _rate(steps: list[float]) -> Column:
-    """Rate of a row: one, moved along the posteriors and cut at zero."""
-    move = F.lit(0.0)
-    for i, step in enumerate(steps):
-        move = move + F.col(f"p{i}") * float(step)
-    return F.greatest(F.lit(0.0), F.lit(1.0) - move)
+def domain_shares(rows: DataFrame, k: int) -> list[float]:
+    """Share of each domain in all tokens, by the memberships (0 without tokens)."""
+    n = F.col("n_tokens")
+    got = rows.agg(F.sum(n), *[F.sum(n * F.col(f"p{i}")) for i in range(k)]).first()
+    return [x / got[0] for x in got[1:]] if got[0] else [0.0] * k
 
 
-def fit_rates(rows: DataFrame, weights: list[float]) -> list[float]:
-    """The move along the posteriors whose rates solve least squares on the misses of domain token totals.
+def fit_rates(rows: DataFrame, goal: list[float], pull: float = PULL) -> tuple[DataFrame, list[float]]:
+    """``rows`` with their ``rate``, and the domain shares reached: least squares by projected gradient steps.
 
-    Of all solutions the one nearest to rates of one is taken: half the squared misses plus RIDGE times half
-    the token-weighted squared distance from one.  Its rates are max(0, 1 - move * posteriors), where RIDGE * move are
-    the misses: a convex problem in as many numbers as domains, solved by Newton steps on the Gram matrix of the rows
-    with positive rate, with a line search, until the optimality condition holds to TOLERANCE of each target.
-    A step costs one or two passes over the posterior table and a few sums; nothing is written between.
-    Where targets cannot be met the reached totals are told in a warning.
+    Minimised over all nonnegative rates: half the squared misses of the domain totals (in shares of all tokens), plus ``pull`` times half
+    the token-weighted squared distance of the rates from 1, so that of all rates that meet reachable targets nearly the ones closest to 1 are found.
+    From rates of 1, every step moves each rate against its gradient, memberships times misses plus the pull, and cuts at 0.  Step lengths are spectral
+    (Barzilai and Borwein) with a nonmonotone line search over the last HISTORY heights; the plain step 1 / (1 + pull), which always descends, is taken where
+    that fails.  A step is one pass of sums over the table; rates are written every SPOOL_STEPS steps, which bounds the expressions.
+    Ends when the projected gradient is at most SETTLED, or after MOST_STEPS with the best rates met; targets that stay missed are told in a warning.
     """
-    k = len(weights)
-    n, p = F.col("n_tokens"), [F.col(f"p{i}") for i in range(k)]
+    k = len(goal)
+    goal, n, p = np.array(goal), F.col("n_tokens"), [F.col(f"p{i}") for i in range(k)]
+    state = rows.withColumn("rate", F.lit(1.0))
     total = rows.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     if not total:
-        return [0.0] * k
-    goal, (up, down) = np.array(weights), np.triu_indices(k)
-    worth = lambda squares, move: squares / total / 2 + goal @ move + RIDGE / 2 * (move @ move)
-
-    def at(move):
-        """Height, gradient and curvature of the problem, and the domain totals, at a move."""
-        r = F.col("r")
-        live = F.when(r > 0, n).otherwise(0)
-        got = np.array(rows.withColumn("r", _rate(move)).agg(
-            F.sum(n * r * r), *[F.sum(n * r * x) for x in p], *[F.sum(live * p[i] * p[j]) for i, j in zip(up, down)]).first(), dtype=float)
-        now, curve = got[1:k + 1] / total, np.zeros((k, k))
-        curve[up, down] = curve[down, up] = got[k + 1:] / total
-        return worth(got[0], move), goal - now + RIDGE * move, curve + RIDGE * np.eye(k), now
-
-    move = np.zeros(k)
-    height, slope, curve, now = at(move)
-    for _ in range(MOST_STEPS):
-        if (np.abs(slope) <= TOLERANCE * np.maximum(goal, TOLERANCE)).all():
+        return state, [0.0] * k
+    now = np.array(domain_shares(rows, k))
+    plain = step = 1 / (1 + pull)
+    heights = [float((now - goal) @ (now - goal)) / 2]
+    best = heights[0], state, now
+    for turn in range(1, MOST_STEPS + 1):
+        def moved(size):
+            slope = sum((x * float(m) for x, m in zip(p, now - goal)), F.lit(0.0))
+            new = F.greatest(F.lit(0.0), F.col("rate") * (1 - size * pull) + size * pull - slope * size)
+            table = state.withColumn("next", new)
+            d, e = F.col("next") - F.col("rate"), F.col("next") - 1
+            got = np.array(table.agg(F.sum(n * d * d), F.sum(n * e * e), *[F.sum(n * x * F.col("next")) for x in p]).first(), dtype=float) / total
+            return table, got[0], float((got[2:] - goal) @ (got[2:] - goal) + pull * got[1]) / 2, got[2:]
+
+        table, way, height, then = moved(step)
+        if height > max(heights[-HISTORY:]) - 1e-4 * way / step:
+            step = plain
+            table, way, height, then = moved(step)
+        state = table.withColumn("rate", F.col("next")).drop("next")
+        if turn % SPOOL_STEPS == 0:
+            state = spool(state)
+        rise = float((then - now) @ (then - now)) + pull * way
+        settled, now = math.sqrt(way) / step <= SETTLED, then
+        heights.append(height)
+        if height <= best[0]:
+            best = height, state, now
+        if settled:
             break
-        step = -np.linalg.solve(curve, slope)
-        new = at(move + step)
-        if new[0] > height + 1e-4 * (slope @ step):
-            sizes = 0.5 ** np.arange(1, 41)
-            squares = rows.agg(*[F.sum(n * _rate(move + t * step) * _rate(move + t * step)) for t in sizes]).first()
-            step = step * min((worth(x, move + t * step), t) for x, t in zip(squares, sizes))[1]
-            new = at(move + step)
-        move, (height, slope, curve, now) = move + step, new
-    else:
-        raise RuntimeError(f"rates not settled after {MOST_STEPS} steps: totals {now.tolist()}, targets {goal.tolist()}")
-    if (np.abs(now - goal) > 10 * TOLERANCE * np.maximum(goal, TOLERANCE)).any():
-        warnings.warn(f"targets {goal.tolist()} cannot be met; domain totals reached: {now.tolist()}")
-    return move.tolist()
+        step = min(1 / pull, way / rise) if rise > 0 else plain
+    _, state, now = best
+    if (np.abs(now - goal) > 0.02 * np.maximum(goal, pull)).any():
+        warnings.warn(f"targets {goal.tolist()} are not met; domain shares reached: {now.tolist()}")
+    return state, now.tolist()
 
 
 def mix_to_targets(
     pois: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "poi_id", text: str = "address", label: str = "category",
-    train_rows: int = TRAIN_ROWS,
+    train_rows: int = TRAIN_ROWS, relative: bool = False, pull: float = PULL,
 ) -> DataFrame:
     """Nonnegative rate of every record, so that expected domain token totals match target weights.
 
     ``labelled`` has ``key`` and ``label`` (a domain of ``targets``) for some records; a classifier learnt from
-    a bounded sample of them gives every text soft memberships.  Rates solve
-    least squares on the misses of the domain totals (targets times all tokens,
-    tokens being words), as near to 1 as that allows (``fit_rates``).  ``copies`` is the rate
+    a bounded sample of them gives every text soft memberships (tokens being words), those of labelled records led by their label.  ``targets`` are weights of the domains in all tokens;
+    ``relative`` ones multiply the shares that the memberships give before (a weight of 1 for each changes nothing), so that they stay within
+    reach.  Rates are those of ``fit_rates``: least squares on the misses of the domain totals, pulled towards 1 by ``pull``.  ``copies`` is the rate
     rounded up or down by a hash of key and text, so that totals are met on average.
 
     Returns key, text_hash, n_tokens, p_<domain> for each target, rate, copies: one row for
     each input row.  Null and empty texts have no tokens and the prior's membership;
-    repeated rows get equal rates; without labels all memberships are equal
+    repeated rows get equal rates; of several labels of a key the smallest counts; without labels all memberships are equal
     priors.  Other columns are not read.
     """
     domains = sorted(targets)
-    whole = sum(targets.values())
     model = fit_domains(pois, labelled, domains, key, text, label, train_rows)
-    rows = spool(posteriors(pois, model, domains, key, text))
-    steps = fit_rates(rows, [targets[d] / whole for d in domains])
-    rate = _rate(steps)
+    rows = spool(posteriors(pois, labelled, model, domains, key, text, label))
+    goal = np.array([targets[d] for d in domains])
+    if relative:
+        goal = goal * domain_shares(rows, len(domains))
+    rated, _ = fit_rates(rows, (goal / (goal.sum() or 1.0)).tolist(), pull)
     chance = F.pmod(F.xxhash64(F.col("key").cast("string"), "h", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    out = rows.select("*", rate.alias("rate"))
-    return out.select(
+    return rated.select(
         F.col("key").alias(key), F.col("h").alias("text_hash"), "n_tokens", *[F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)], "rate",
         (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).alias("copies"),
     )
