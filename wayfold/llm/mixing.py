@@ -71,13 +71,13 @@ def posteriors(pois: DataFrame, labelled: DataFrame, model: tuple, domains: list
     sums = F.aggregate("w", F.struct(*[F.lit(0.0).alias(f) for f in fields]), add)
     rows = pois.select(F.col(key).alias("key"), F.xxhash64(text_bytes(text)).alias("h"), word_list(text).alias("w"))
     rows = rows.select("key", "h", F.size("w").cast("long").alias("n_tokens"), sums.alias("s"))
-    known = labelled.filter(F.col(label).isin(domains)).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("known"))
-    rows = rows.join(known, "key", "left")
     # evidence of a long text counts as that of a fixed number of words, so membership stays soft
     scale = F.lit(EVIDENCE) / F.greatest(F.lit(EVIDENCE), F.col("n_tokens"))
-    own = lambda d: F.when(F.col("known") == d, KNOWN).otherwise(0.0)
-    rows = rows.select("key", "h", "n_tokens", F.array(own(domains[0]), *[
-        F.col("s")[f] * scale + (prior[d] - prior[domains[0]]) + own(d) for d, f in zip(domains[1:], fields)]).alias("l"))
+    rows = rows.select("key", "h", "n_tokens", F.array(F.lit(0.0), *[
+        F.col("s")[f] * scale + (prior[d] - prior[domains[0]]) for d, f in zip(domains[1:], fields)]).alias("e"))
+    known = labelled.filter(F.col(label).isin(domains)).groupBy(F.col(key).alias("key")).agg(F.min(label).alias("known"))
+    rows = rows.join(known, "key", "left").select("key", "h", "n_tokens", F.array(*[
+        F.col("e")[i] + F.when(F.col("known") == d, KNOWN).otherwise(0.0) for i, d in enumerate(domains)]).alias("l"))
     top = rows.select("*", F.transform("l", lambda x: F.exp(x - F.array_max("l"))).alias("e"))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     return top.select("key", "h", "n_tokens", *[(F.col("e")[i] / total).alias(f"p{i}") for i in range(len(domains))])
