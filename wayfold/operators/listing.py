@@ -223,15 +223,28 @@ def national_total(profiles: DataFrame) -> DataFrame:
     )
 
 
-def quality_profile(pois: DataFrame) -> DataFrame:
-    """Fill ratios, mean rating and tier counts per dataset."""
+def _quality() -> list[Column]:
     filled = lambda c: F.avg(F.when(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""), 1.0).otherwise(0.0))
-    return pois.groupBy("dataset_id").agg(
+    return [
         F.count(F.lit(1)).alias("points"),
         filled("rating").alias("rating_fill"), filled("kelurahan").alias("kelurahan_fill"),
         F.avg("rating").alias("mean_rating"),
         *[F.count_if(F.col("tier") == t).alias(f"tier_{t.lower()}") for t in "ABCD"],
-    )
+    ]
+
+
+def quality_profile(pois: DataFrame) -> DataFrame:
+    """Fill ratios, mean rating and tier counts per dataset."""
+    return pois.groupBy("dataset_id").agg(*_quality())
+
+
+def quality_rollup(pois: DataFrame, levels: tuple[str, ...] = ("province", "kabko", "kecamatan")) -> DataFrame:
+    """C8 over region levels: the same figures for every district, city and province and for all points, in one pass.
+
+    ``level`` is the grouping id: 0 for the innermost level, one more bit set for each level summed over (7: all points).  A
+    missing region stays a row of its own, told from the sums by ``level``.
+    """
+    return pois.rollup(*levels).agg(F.grouping_id().cast("long").alias("level"), *_quality())
 
 
 def job_progress(items: DataFrame) -> DataFrame:

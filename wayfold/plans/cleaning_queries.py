@@ -356,6 +356,27 @@ FROM poi GROUP BY 1
 """)
 
 
+def rollup(spark, sf):
+    """Quality figures of all region levels; points without a city name keep a row of their own on each level."""
+    p = table(spark, sf, "poi").withColumn("kabko", F.when(F.col("poi_id") % 29 != 0, F.col("kabko")))
+    q = listing.quality_rollup(p)
+    return q.select(
+        "level", "province", "kabko", "kecamatan", "points", *[F.round(c, 8).alias(c) for c in ("rating_fill", "kelurahan_fill", "mean_rating")],
+        "tier_a", "tier_b", "tier_c", "tier_d",
+    )
+
+
+QUERIES["C8_region_rollup"] = rollup
+ORACLE["C8_region_rollup"] = sql_with(["poi"], """
+, p AS (SELECT province, CASE WHEN poi_id % 29 <> 0 THEN kabko END AS kabko, kecamatan, kelurahan, rating, tier FROM poi)
+SELECT GROUPING(province, kabko, kecamatan) AS level, province, kabko, kecamatan, count(*) AS points,
+  round(avg(CASE WHEN rating IS NULL THEN 0e0 ELSE 1e0 END),8) AS rating_fill,
+  round(avg(CASE WHEN trim(kelurahan) = '' THEN 0e0 ELSE 1e0 END),8) AS kelurahan_fill, round(avg(rating),8) AS mean_rating,
+  count(*) FILTER (tier='A') AS tier_a, count(*) FILTER (tier='B') AS tier_b, count(*) FILTER (tier='C') AS tier_c, count(*) FILTER (tier='D') AS tier_d
+FROM p GROUP BY ROLLUP (province, kabko, kecamatan)
+""")
+
+
 def listed(spark, sf):
     return listing.page(table(spark, sf, "poi"), 100, 40).select("poi_id", "priority_score")
 
