@@ -244,3 +244,41 @@ SELECT request_id, round(k,6) AS km, round({leg_km('p_lat','p_lon','o_lat','o_lo
     CASE WHEN ct%10=0 THEN CAST((ct%100)//10 AS VARCHAR) ELSE lpad(CAST(ct%100 AS VARCHAR),2,'0') END, ' km') END AS label
 FROM g
 """)
+
+
+_NOW = "2026-07-10T20:15:40"
+# departures as users type them, and settings some of which break a rule
+_REQUESTS = """
+SELECT request_id, CASE WHEN request_id % 97 = 0 THEN NULL ELSE o_lat END AS o_lat, o_lon,
+  CASE WHEN request_id % 9 = 0 THEN NULL ELSE d_lat END AS d_lat, d_lon, profile, CASE WHEN request_id % 31 <> 0 THEN prayer END AS prayer,
+  CASE request_id % 6 WHEN 0 THEN '' WHEN 1 THEN '05:07' WHEN 2 THEN '2026-07-12T23:30:59Z' WHEN 3 THEN '2026-07-12 08:15:30'
+    WHEN 4 THEN '2026-07-12T08:15:00+09:00' ELSE 'soon' END AS departure,
+  CAST(request_id % 230 AS DOUBLE) AS search_radius_km, CAST(request_id % 12 AS INT) AS maximum_results, fuel_price_per_liter FROM trips
+"""
+
+
+def requests_prepared(spark, sf):
+    """Every raw request, accepted with its local departure or quarantined with its reasons."""
+    from wayfold.plans.recommend import prepare_requests
+
+    table(spark, sf, "trips").createOrReplaceTempView("trips")
+    trips, bad = prepare_requests(spark.sql(_REQUESTS), _NOW)
+    none = lambda t: F.lit(None).cast(t)
+    return trips.select(
+        "request_id", F.date_format("departure_date", "yyyy-MM-dd").alias("day"), F.col("departure_min").cast("int").alias("departure_min"),
+        F.round("d_lat", 6).alias("d_lat"), none("string").alias("violations"),
+    ).unionByName(bad.select("request_id", none("string").alias("day"), none("int").alias("departure_min"), none("double").alias("d_lat"), F.array_join("violations", ",").alias("violations")))
+
+
+QUERIES["B19_H2_requests"] = requests_prepared
+ORACLE["B19_H2_requests"] = sql_with(["trips"], f"""
+, req AS ({_REQUESTS}),
+v AS (SELECT *, concat_ws(',', CASE WHEN o_lat IS NULL THEN 'origin' END, CASE WHEN prayer IS NULL THEN 'prayer' END,
+    CASE WHEN profile NOT IN ('fastest', 'prayer_priority', 'low_cost', 'balanced') THEN 'profile' END,
+    CASE WHEN search_radius_km < 1 OR search_radius_km > 200 THEN 'search_radius_km' END,
+    CASE WHEN maximum_results < 1 OR maximum_results > 10 THEN 'maximum_results' END) AS bad,
+  CASE request_id % 6 WHEN 1 THEN TIMESTAMP '2026-07-11 05:07:00' WHEN 2 THEN TIMESTAMP '2026-07-13 06:30:00' WHEN 3 THEN TIMESTAMP '2026-07-12 08:15:00'
+    WHEN 4 THEN TIMESTAMP '2026-07-12 06:15:00' ELSE TIMESTAMP '2026-07-11 03:15:00' END AS dep FROM req)
+SELECT request_id, CASE WHEN bad = '' THEN strftime(dep, '%Y-%m-%d') END AS day, CASE WHEN bad = '' THEN CAST(hour(dep)*60 + minute(dep) AS INT) END AS departure_min,
+  CASE WHEN bad = '' THEN round(CASE WHEN d_lat IS NULL THEN o_lat ELSE d_lat END, 6) END AS d_lat, CASE WHEN bad <> '' THEN bad END AS violations FROM v
+""")
