@@ -87,6 +87,21 @@ def test_token_files(spark, pois, none, tmp_path):
     assert read_token_files(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_of_text_keys(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rows = [(f"asia_{i}", f"jalan raya {i} " * (i % 5)) for i in range(60)] + [(None, "no key"), ("asia_20", "again, and longer than it was"), ("", None)]
+    write_token_files(spark.createDataFrame(rows, "poi_id string, address string").repartition(3), str(tmp_path / "t"), tokenizer_path())
+    t = Tokenizer.from_file(tokenizer_path())
+    ids = [(k, t.encode(x or "", add_special_tokens=False).ids + [2]) for k, x in rows]
+    expected, start = [], 0
+    for k, x in sorted(ids, key=lambda r: (r[0] is not None, r[0] or "", len(r[1]))):
+        expected.append((k, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes())))
+        start += len(x)
+    got = [tuple(r) for r in read_token_files(spark, str(tmp_path / "t")).collect()]
+    assert sorted(got, key=lambda r: r[1]) == expected
+
+
 def test_packing(pois, none):
     rows = pack_sequences(pois, tokenizer_path(), capacity=256).collect()
     by = {}

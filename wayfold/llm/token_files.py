@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import NumericType
 
 from wayfold.llm.common import keep_table, shuffle_width
 from wayfold.llm.tokens import word_ids
@@ -200,6 +201,16 @@ def _blocks(key: str, kind: pa.DataType):
     return run
 
 
+def _cut_keys(rows: DataFrame, key: str, shards: int) -> list | None:
+    """Keys that cut the table into about equal shards: quantiles of numbers, or those of about 100 keys a shard drawn by hash."""
+    if isinstance(rows.schema[key].dataType, NumericType):
+        return rows.agg(F.percentile_approx(key, [i / shards for i in range(1, shards)], 100 * shards)).first()[0]
+    share = min(1.0, 100 * shards / max(1, rows.count())) * (1 << 20)
+    # about 100 keys a shard
+    drawn = sorted(r[0] for r in rows.filter(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share)).select(key).distinct().collect())
+    return [drawn[i * len(drawn) // shards] for i in range(1, shards)] if drawn else None
+
+
 def write_token_files(
     pois: DataFrame, path: str, tokenizer: str, key: str = "poi_id", text: str = "address", end_id: int = 2,
 ) -> None:
@@ -224,7 +235,7 @@ def write_token_files(
     used = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(used, "id int, bits int").coalesce(1).write.parquet(f"{path}/codes")
     shards = shuffle_width(pois)
-    cuts = rows.agg(F.percentile_approx(key, [i / shards for i in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else None
+    cuts = _cut_keys(rows, key, shards) if shards > 1 else None
     # place among the cuts: how many of them are not above the key
     shard = F.lit(0) if not cuts else F.coalesce(F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c <= F.col(key))), F.lit(0))
     coded = rows.mapInArrow(_encode(lengths, canonical_codes(lengths), key), f"`{key}` {name}, n_tokens bigint, payload binary, checks binary")
