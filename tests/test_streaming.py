@@ -89,7 +89,96 @@ def test_snapshots_survive_restarted_batch_numbers(spark, tmp_path):
     table.upsert(row("b", "2024-01-01 00:00:30", 2), 0)
     table.upsert(row("a", "2024-01-01 00:01:00", 3), 1)
     assert {(r.road_segment_id, r.sample_count) for r in table.read().collect()} == {("a", 3), ("b", 2)}
-    assert len([p for p in (tmp_path / "snap").iterdir() if p.name.startswith("v")]) == 2
+    # b's first folder is named by neither of the last two manifests
+    assert len([p for p in (tmp_path / "snap").iterdir() if p.name.startswith("v")]) == 3
+    assert len(list((tmp_path / "snap" / "_current").glob("[0-9]*"))) == 2
+
+
+def test_an_upsert_rewrites_the_buckets_it_touches(spark, tmp_path):
+    from wayfold.streaming.traffic import SnapshotTable
+
+    table = SnapshotTable(spark, str(tmp_path / "snap"), buckets=8)
+    rows = lambda ids, end, n: spark.range(ids).select(
+        F.lit("R").alias("region_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("road_segment_id"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("window_started_at"), F.lit(end).cast("timestamp").alias("window_ended_at"), F.lit(n).alias("n"))
+    table.upsert(rows(200, "2024-01-01 00:00:30", 1), 0)
+    files = lambda: {str(p) for p in (tmp_path / "snap").glob("v*/bucket=*/*.parquet")}
+    first = files()
+    assert len({p.split("bucket=")[1].split("/")[0] for p in first}) == 8
+    table.upsert(rows(1, "2024-01-01 00:01:00", 2), 1)
+    assert len({p.split("/bucket=")[1].split("/")[0] for p in files() - first}) == 1 and first < files()
+    table.upsert(rows(0, "2024-01-01 00:01:00", 2), 2)  # nothing arrives
+    table.upsert(rows(1, "2024-01-01 00:00:10", 3), 3)  # older than what is known
+    got = {r.road_segment_id: r.n for r in SnapshotTable(spark, str(tmp_path / "snap"), buckets=3).read().collect()}
+    assert len(got) == 200 and got["s0"] == 2 and sum(got.values()) == 201
+    assert len({p.split("/bucket=")[1].split("/")[0] for p in files()}) == 8 and not first <= files()
+
+
+def test_table_without_rows(spark, tmp_path):
+    from wayfold.streaming.traffic import SnapshotTable
+
+    table = SnapshotTable(spark, str(tmp_path / "snap"))
+    none = spark.createDataFrame([], "region_id string, road_segment_id string, window_started_at timestamp, window_ended_at timestamp, n long")
+    assert table.read() is None
+    table.upsert(none, 0)
+    assert table.read().columns == none.columns and table.read().count() == 0
+
+
+def test_lost_driver_leaves_the_state_before(spark, tmp_path, monkeypatch):
+    import pytest
+    from wayfold.streaming.traffic import SnapshotTable
+
+    table = SnapshotTable(spark, str(tmp_path / "snap"))
+    row = lambda n, end: spark.sql(
+        f"SELECT 'R' AS region_id, 'a' AS road_segment_id, TIMESTAMP '2024-01-01 00:00:00' AS window_started_at, TIMESTAMP '{end}' AS window_ended_at, {n}L AS n")
+    table.upsert(row(1, "2024-01-01 00:00:30"), 0)
+    with monkeypatch.context() as m:
+        m.setattr(SnapshotTable, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            table.upsert(row(2, "2024-01-01 00:01:00"), 1)
+    assert [r.n for r in table.read().collect()] == [1]
+    table.upsert(row(2, "2024-01-01 00:01:00"), 1)
+    assert [r.n for r in table.read().collect()] == [2]
+
+
+def test_matching_on_a_stream_closes_the_traffic_loop(spark, tmp_path):
+    """Events without segments, from files to slowed edges, equal the stored-table jobs; a replayed batch adds nothing."""
+    from wayfold.operators import snapping
+
+    rnd = random.Random(3)
+    nodes = spark.createDataFrame([(i, -6.0 + (i // 4) * 0.01, 106.8 + (i % 4) * 0.01) for i in range(16)], "node long, lat double, lon double")
+    pairs = [(i, i + d) for i in range(16) for d in (1, 4) if i + d < 16 and (d == 4 or i % 4 < 3)]
+    edges = spark.createDataFrame([(a, b, 100.0, 60.0) for a, b in pairs + [(b, a) for a, b in pairs]], "u long, v long, length double, travel_time double")
+    index = snapping.edge_index(snapping.edge_lines(edges, nodes))
+    lines = []
+    for i in range(120):
+        at = f"2026-01-01T00:{i // 30:02d}:{(i % 30) * 2:02d}Z"
+        e = json.loads(line(f"e{i}", at, rnd.choice([8.0, 15.0, 30.0]), seg="0_1" if i % 10 == 0 else None))
+        lines.append(json.dumps({**e, "latitude": -6.0 + rnd.random() * 0.03, "longitude": 106.8 + rnd.random() * 0.03}))
+    lines.append(line("end", "2026-01-01T01:00:00Z", seg="9_9"))
+    (tmp_path / "in").mkdir()
+    for part in range(2):
+        (tmp_path / "in" / f"{part}.txt").write_text("\n".join(lines[part * 60:(part + 1) * 60 + part]))
+        os.utime(tmp_path / "in" / f"{part}.txt", (part + 1, part + 1))
+    source = events.read_location_stream(spark, "files", path=str(tmp_path / "in"), maxFilesPerTrigger=1)
+    out = str(tmp_path / "matched")
+    match = lambda: traffic.start_matching(source, index, out, str(tmp_path / "cp1"), {"availableNow": True}).awaitTermination()
+    match()
+    commits = sorted((tmp_path / "cp1" / "commits").glob("[0-9]*"))
+    before = sorted(p.name for p in (tmp_path / "matched").iterdir())
+    for p in [commits[-1], commits[-1].parent / f".{commits[-1].name}.crc"]:
+        p.unlink(missing_ok=True)  # the driver went down before the last batch was noted
+    match()
+    assert sorted(p.name for p in (tmp_path / "matched").iterdir()) == before and len(before) == 2
+    table = traffic.SnapshotTable(spark, str(tmp_path / "table"))
+    placed = traffic.read_matched(spark, out, source.schema, maxFilesPerTrigger=1)
+    traffic.start_snapshots(placed, table, str(tmp_path / "cp2"), {"availableNow": True}).awaitTermination()
+    stored = traffic.match_segments(events.parse_events(spark.read.text(str(tmp_path / "in"))).filter("event_id <> 'end'"), index)
+    want = traffic.latest(traffic.aggregate(stored))
+    key = lambda d: sorted(tuple(r) for r in d.select("region_id", "road_segment_id", "window_ended_at", "sample_count", "average_speed_kph").collect())
+    assert key(table.read()) == key(want) and len(key(want)) > 10
+    times = lambda d: sorted(tuple(r) for r in traffic.apply_traffic(edges, d, "R").collect())
+    assert times(table.read()) == times(want) and max(r[3] for r in times(want)) > 60.0
 
 
 def test_traffic_slows_both_directions_of_its_region(spark):
