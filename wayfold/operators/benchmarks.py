@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from wayfold.operators.quantiles import exact_quantiles
 
 
+# Names in comparisons.
+SAME, ASTAR, DIJKSTRA = "Sama", "A*", "Dijkstra"
+
+
 def metric_summary(results: DataFrame, metrics: dict[str, str], group: list[str] | None = None) -> DataFrame:
     """mean, median, p95, p99, min and max per metric, in long form."""
     group = group or []
@@ -38,6 +42,24 @@ def duel(results: DataFrame, a: str = "dijkstra_ms", b: str = "astar_ms") -> Dat
     )
 
 
+def compare_pairs(results: DataFrame) -> DataFrame:
+    """C14 per measured pair: who was faster, by how much, and who expanded fewer nodes.
+
+    Needs dijkstra_ms, astar_ms, dijkstra_nodes, astar_nodes; other columns stay.
+    The gain is the difference in percent of the slower time (0 where both took no
+    time).  A missing measurement leaves the fields that need it null.
+    """
+    first = lambda a, b: F.when(a == b, SAME).when(b < a, ASTAR).when(a < b, DIJKSTRA)
+    ms, nodes = (F.col("dijkstra_ms"), F.col("astar_ms")), (F.col("dijkstra_nodes"), F.col("astar_nodes"))
+    apart, slower = F.abs(ms[0] - ms[1]), F.when(ms[0] > ms[1], ms[0]).otherwise(ms[1])
+    return results.withColumns({
+        "faster_algorithm": first(*ms), "time_difference_ms": F.round(apart, 2),
+        "efficiency_gain_percent": F.round(F.when(slower > 0, apart / slower * 100.0).when(slower <= 0, 0.0), 1),
+        "fewer_explored_algorithm": first(*nodes), "explored_nodes_difference": F.abs(nodes[0] - nodes[1]),
+        "nodes_saved": F.when(nodes[0] > nodes[1], nodes[0] - nodes[1]).when(nodes[0] <= nodes[1], 0),
+    })
+
+
 def with_errors(results: DataFrame) -> DataFrame:
     """Percent errors and cost differences from raw pairs of measurements."""
     # costs match within a relative 1e-9 or an absolute 1e-7

@@ -142,6 +142,19 @@ def merge_settings(current: DataFrame, updates: DataFrame, now: Column | None =
     )
 
 
+def delete_settings(current: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settings left, user_id and status of each user asked for: success or not_found).
+
+    Asking twice for a user gives one answer; a null user is not found.
+    """
+    asked = users.select("user_id").distinct()
+    known = current.select("user_id", F.lit(True).alias("_known")).distinct()
+    answers = asked.join(known, "user_id", "left").select(
+        "user_id", F.when(F.col("_known"), "success").otherwise("not_found").alias("status"),
+    )
+    return current.join(asked, "user_id", "left_anti"), answers
+
+
 def revision_ledger(profiles: DataFrame, mutations: DataFrame) -> DataFrame:
     """Revision and point count of each dataset after a mutation log.
 

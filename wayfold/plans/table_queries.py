@@ -172,6 +172,23 @@ FROM customer FULL JOIN u ON k = c_custkey
 """
 
 
+def settings_reset(spark, sf):
+    """Users with settings: those who ordered; every customer asks for a reset, then what is left is listed as kept."""
+    name = lambda c: F.concat(F.lit("u"), F.col(c).cast("string")).alias("user_id")
+    have = table(spark, sf, "orders").filter("o_custkey IS NOT NULL").select(name("o_custkey"), F.lit("balanced").alias("profile")).distinct()
+    asked = table(spark, sf, "customer").select(name("c_custkey"))
+    rest, answers = changes.delete_settings(have, asked)
+    return answers.unionByName(rest.select("user_id", F.lit("kept").alias("status")))
+
+
+QUERIES["D14_settings_reset"] = settings_reset
+ORACLE["D14_settings_reset"] = """
+WITH h AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_custkey IS NOT NULL), c AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey IS NOT NULL)
+SELECT concat('u', CAST(k AS STRING)) AS user_id, CASE WHEN k IN (SELECT k FROM h) THEN 'success' ELSE 'not_found' END AS status FROM c
+UNION ALL SELECT concat('u', CAST(k AS STRING)), 'kept' FROM h WHERE k NOT IN (SELECT k FROM c)
+"""
+
+
 def assigned(spark, sf):
     keys = table(spark, sf, "customer").select(F.lower(F.concat("c_mktsegment", F.lit("_"), "c_nationkey")).alias("dataset_id"))
     rules = table(spark, sf, "nation").select(
@@ -320,6 +337,26 @@ ORACLE["C14_metric_summary"] = sql_with(["res"], " UNION ALL ".join(
     for n, c in (("dijkstra_ms", "dms"), ("astar_ms", "ams"), ("km", "q"))), _RES)
 
 
+def compared(spark, sf):
+    l = table(spark, sf, "lineitem")
+    r = benchmarks.compare_pairs(l.select(
+        "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 7.77).alias("dijkstra_ms"),
+        (F.col("l_extendedprice") * (1 + F.col("l_discount")) / 7.77).alias("astar_ms"),
+        F.col("l_partkey").alias("dijkstra_nodes"), (F.col("l_partkey") + F.col("l_linenumber") - 3).alias("astar_nodes"),
+    ))
+    return r.drop("dijkstra_ms", "astar_ms", "dijkstra_nodes", "astar_nodes")
+
+
+QUERIES["C14_comparison"] = compared
+ORACLE["C14_comparison"] = """
+WITH m AS (SELECT l_orderkey, l_linenumber, l_extendedprice/777e-2 AS d, l_extendedprice*(1+l_discount)/777e-2 AS a, l_partkey AS dn, l_partkey+l_linenumber-3 AS an FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN a = d THEN 'Sama' WHEN a < d THEN 'A*' WHEN d < a THEN 'Dijkstra' END AS faster_algorithm,
+  round(abs(d-a), 2) AS time_difference_ms, round(CASE WHEN greatest(d,a) > 0 THEN abs(d-a)/greatest(d,a)*100e0 ELSE 0e0 END, 1) AS efficiency_gain_percent,
+  CASE WHEN an = dn THEN 'Sama' WHEN an < dn THEN 'A*' WHEN dn < an THEN 'Dijkstra' END AS fewer_explored_algorithm,
+  abs(dn-an) AS explored_nodes_difference, greatest(0, dn-an) AS nodes_saved FROM m
+"""
+
+
 def duel(spark, sf):
     d = benchmarks.duel(_results(spark, sf))
     return d.select(
