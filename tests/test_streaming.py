@@ -76,6 +76,42 @@ def test_gate_on_a_stream_equals_batch(spark, tmp_path):
     assert key(spark.table("gated")) == key(gps.gate_batch(df))
 
 
+def test_ordered_gate_equals_batch_and_forgets_silent_sessions(spark, tmp_path):
+    """Fixes dealt out of order over triggers; one session pauses for longer than a session lives."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    rnd = random.Random(8)
+    rows = []
+    for session in ("a", "b", "c"):
+        lat = -6.0
+        for i in range(60):
+            lat += rnd.choice([0, 0.00012, 0.0003, 0.001])
+            t = i * 2.0 + 0.25 + (5000.0 if session == "b" and i >= 30 else 0.0)
+            rows.append((session, i, lat, 106.8, t))
+    far = [("z", 900, -6.0, 106.8, 20000.0), ("z", 901, -6.0, 106.8, 20001.0)]
+    schema = "session_id string, fix_id long, latitude double, longitude double, t double"
+    order = sorted(rows, key=lambda r: r[4] + rnd.uniform(0, 9))
+    trigger = [order[i:i + 45] for i in range(0, len(order), 45)] + [[(None, 1, 1.0, 1.0, 1.0)], far[:1], far[1:]]
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate(trigger):
+        f = tmp_path / "in" / f"{i}.json"
+        f.write_text("\n".join(json.dumps(dict(zip(("session_id", "fix_id", "latitude", "longitude", "t"), r))) for r in part))
+        os.utime(f, (i + 1, i + 1))
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        q = gps.gate_stream_ordered(stream).writeStream.format("memory").queryName("ordered").outputMode("append").trigger(availableNow=True).option(
+            "checkpointLocation", str(tmp_path / "cp")).start()
+        q.awaitTermination()
+        left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        spark.conf.unset(store)
+    parts = [(f"{s}{int(s == 'b' and t > 5000)}", i, a, o, t) for s, i, a, o, t in rows]
+    want = sorted((r.session_id[0], r.fix_id, r.accepted, r.event) for r in gps.gate_batch(spark.createDataFrame(parts, schema)).collect())
+    got = sorted((r.session_id, r.fix_id, r.accepted, r.event) for r in spark.table("ordered").filter("session_id <> 'z'").collect())
+    assert got == want and any(e == "reroute" for *_, e in want)
+    assert left <= 6  # the last session's waiting fixes and timers only
+
+
 def test_snapshots_survive_restarted_batch_numbers(spark, tmp_path):
     """Batches counted from 0 again after a lost checkpoint are not thrown away, and old versions go."""
     from wayfold.streaming.traffic import SnapshotTable

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from wayfold.runtime import number_rows, spool
 
@@ -124,3 +125,79 @@ def gate_stream(fixes: DataFrame) -> DataFrame:
     return fixes.groupBy("session_id").applyInPandasWithState(
         _stream_group, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout,
     )
+
+
+class _OrderedGate(StatefulProcessor):
+    """Fixes of a session wait for the watermark, pass the gate in time order, and a silent session is forgotten."""
+
+    def __init__(self, idle_s: float):
+        self.idle_s = idle_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.gate = handle.getValueState("gate", _STATE + ", last double")
+        self.waiting = handle.getMapState("waiting", "t double, fix_id long", "latitude double, longitude double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = np.inf
+        for pdf in rows:
+            for fix, lat, lon, t in zip(pdf["fix_id"], pdf["latitude"], pdf["longitude"], pdf["t"]):
+                self.waiting.updateValue((float(t), int(fix)), (float(lat), float(lon)))
+                first = min(first, float(t))
+        if first < np.inf:
+            self.handle.registerTimer(_ms(first))
+        yield _verdicts([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator())
+        ready = [x for x in held if _ms(x[0][0]) <= now]
+        *state, last = self.gate.get() if self.gate.exists() else _NEW
+        state, out = tuple(state), []
+        for (t, fix), (lat, lon) in ready:
+            if t - last > self.idle_s:
+                state = _NEW[:_N]
+            state, ok, event = _step(state, lat, lon, t)
+            out.append((key[0], fix, ok, event))
+            last = t
+            self.waiting.removeKey((t, fix))
+        if len(held) > len(ready):
+            self.handle.registerTimer(_ms(held[len(ready)][0][0]))
+        if last == last and _ms(last + self.idle_s) < now:
+            self.gate.clear()  # the next fix, waiting or yet to come, starts over anyway
+        elif ready:
+            self.gate.update((*map(float, state), last))
+            self.handle.registerTimer(_ms(last + self.idle_s) + 1)
+        yield _verdicts(out)
+
+    def close(self) -> None:
+        pass
+
+
+_NEW = (float("nan"),) * (_N + 1)
+
+
+def _verdicts(rows: list) -> pd.DataFrame:
+    kinds = {"session_id": object, "fix_id": "int64", "accepted": bool, "event": object}
+    return pd.DataFrame(rows, columns=list(kinds), dtype=object).astype(kinds)
+
+
+def _ms(t: float) -> int:
+    return int(np.ceil(t * 1000))
+
+
+def gate_stream_ordered(fixes: DataFrame, delay: str = "10 seconds", idle_s: float = 3600.0) -> DataFrame:
+    """K6 + K7 on a stream whose fixes may arrive out of order by up to ``delay``.
+
+    A fix is held until the watermark has passed its time, so the verdicts are those
+    of ``gate_batch`` whatever the triggers bring together; later ones are dropped.  A session that is
+    silent for more than ``idle_s`` seconds starts over, and a timer clears its state.
+    State: the fixes within ``delay`` and seven numbers per live session.  A fix id sent
+    twice with one time counts once; fixes without session, place or time are left out.
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    whole = fixes.dropna(subset=["session_id", "fix_id", "latitude", "longitude", "t"])
+    timed = whole.withColumn("at", F.timestamp_micros(F.ceil(F.col("t") * 1000000).cast("long"))).withWatermark("at", delay)
+    return timed.select("session_id", "fix_id", "latitude", "longitude", "t", "at").groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_OrderedGate(idle_s), outputStructType=_OUT, outputMode="append", timeMode="EventTime",
+    )
